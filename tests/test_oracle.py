@@ -1,13 +1,14 @@
 """Every registered query against its SQL twin on whole test tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["events", "customer", "orders", "part"]
 TYPES = {
     "bigint": "BIGINT",
