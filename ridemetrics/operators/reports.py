@@ -7,15 +7,13 @@ shuffle, so a station or type holding most rides sends one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridemetrics.functions.expressions import count_where, is_blank, is_filled
 from ridemetrics.operators.rides import valid_rides
 from ridemetrics.schema import REPORT_COLUMNS
 
-DEFAULT_ACCURACY = 10_000
-
 
 def empty_report(rides: DataFrame, name: str) -> DataFrame:
     return rides.sparkSession.createDataFrame([], REPORT_COLUMNS[name])
@@ -39,13 +37,64 @@ def overview(rides: DataFrame) -> DataFrame:
     )
 
 
-def duration_stats(rides: DataFrame, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Average, approximate median and maximum minutes of valid rides."""
+def _exact_median(per_duration: DataFrame):
+    """Discrete median of `minutes` weighted by `rides`, as a scalar subquery.
+
+    Two bounded running sums, never one over all durations: first by whole day
+    (a timestamp allows a few million), then by the seconds of the day that
+    holds the middle ride (86,400 at most).
+    """
+    daily = per_duration.groupBy("day").agg(F.sum("rides").alias("rides"))
+    all_days = Window.partitionBy(F.lit(0))
+    middle_day = (
+        daily.select(
+            "day",
+            F.sum("rides").over(all_days.orderBy("day")).alias("up_to"),
+            F.ceil(F.sum("rides").over(all_days) / 2).alias("middle"),
+            "rides",
+        )
+        .filter((F.col("up_to") >= F.col("middle")) & (F.col("up_to") - F.col("rides") < F.col("middle")))
+        .select("day", (F.col("middle") - F.col("up_to") + F.col("rides")).alias("rank"))
+    )
+    within = Window.partitionBy("day").orderBy("minutes")
+    return (
+        # One row, so broadcasting it is safe at any scale.
+        per_duration.join(F.broadcast(middle_day), "day")
+        .withColumn("up_to", F.sum("rides").over(within))
+        .filter(F.col("up_to") >= F.col("rank"))
+        .agg(F.min("minutes"))
+        .scalar()
+    )
+
+
+def duration_stats(rides: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Average, median and maximum minutes of valid rides.
+
+    Durations are whole seconds, so counting rides per duration shrinks any
+    input on the map side, and everything after works on that small histogram.
+    The median is exact. With `accuracy` it is the approximate percentile of
+    that accuracy, whose partial sketches all meet in one task.
+    """
     minutes = F.col("ride_duration_minutes")
-    return valid_rides(rides).agg(
-        F.round(F.avg(minutes), 2).alias("avg_duration_min"),
-        F.round(F.percentile_approx(minutes, 0.5, accuracy), 2).alias("median_duration_min"),
-        F.round(F.max(minutes), 2).alias("max_duration_min"),
+    valid = valid_rides(rides)
+    if accuracy is not None:
+        return valid.agg(
+            F.round(F.avg(minutes), 2).alias("avg_duration_min"),
+            F.round(F.percentile_approx(minutes, 0.5, accuracy), 2).alias("median_duration_min"),
+            F.round(F.max(minutes), 2).alias("max_duration_min"),
+        )
+    per_duration = (
+        valid.groupBy(minutes.alias("minutes"))
+        .agg(F.count("*").alias("rides"))
+        .withColumn("day", F.floor(F.col("minutes") / 1440))
+    )
+    return per_duration.agg(
+        (F.sum(F.col("minutes") * F.col("rides")) / F.sum("rides")).alias("mean"),
+        F.max("minutes").alias("longest"),
+    ).select(
+        F.round("mean", 2).alias("avg_duration_min"),
+        F.round(_exact_median(per_duration), 2).alias("median_duration_min"),
+        F.round("longest", 2).alias("max_duration_min"),
     )
 
 
@@ -118,7 +167,7 @@ def data_quality(rides: DataFrame) -> DataFrame:
 
 
 def all_reports(
-    rides: DataFrame, accuracy: int = DEFAULT_ACCURACY, k: int = 10
+    rides: DataFrame, accuracy: int | None = None, k: int = 10
 ) -> dict[str, DataFrame]:
     return {
         "overview": overview(rides),

@@ -28,12 +28,12 @@ def after_cursor(status: DataFrame, since: int | DataFrame | None) -> DataFrame:
 
 
 def _series(status, measure, ids, since, ordered) -> DataFrame:
-    columns = ["id", "station_id", "grab_time", measure]
-    rows = after_cursor(only_stations(status.select(*columns), ids), since)
+    rows = after_cursor(only_stations(status.select("station_id", "grab_time", measure), ids), since)
     if ordered:
         # Ordering on time as well as station spreads a hot station over
-        # several range partitions.
-        rows = rows.orderBy("station_id", "grab_time", "id")
+        # several range partitions. The measure settles equal times without
+        # reading the wide row id.
+        rows = rows.orderBy("station_id", "grab_time", measure)
     return rows.select("station_id", to_millis("grab_time").alias("ts_ms"), F.col(measure).alias("value"))
 
 

@@ -86,6 +86,14 @@ def station_updates_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def cursors_from_customers(customers: DataFrame) -> DataFrame:
+    """One consumer per station, somewhere in the first weeks of 2024."""
+    return customers.select(
+        F.col("c_custkey").alias("station_id"),
+        (F.lit(1704067200) + F.col("c_nationkey").cast("long") * 86400).alias("last_time"),
+    )
+
+
 def requested_from_parts(parts: DataFrame) -> DataFrame:
     """Station ids asked for; about a quarter of them are unknown."""
     return parts.select(F.col("p_partkey").alias("station_id"))

@@ -9,7 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from ridemetrics.operators.reports import DEFAULT_ACCURACY, all_reports
+from ridemetrics.operators.reports import all_reports
 from ridemetrics.operators.rides import derive
 from ridemetrics.session import configure, scratch_dir, shared_dir
 from ridemetrics.sinks.reports import write_reports
@@ -23,7 +23,7 @@ def analyze(
     output_path: str,
     stage: str | None = None,
     mixed_headers: bool = True,
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
 ) -> None:
     """Read rides, stage them as Parquet, write the reports.
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,20 @@ def test_duration_stats_over_valid_rides(rides):
     assert rows(reports.duration_stats(rides)) == [(10.17, 10.0, 20.5)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_median_is_exact_over_many_days(spark, seed):
+    rng = random.Random(seed)
+    spans = [rng.choice([0, 1, 59, 86399, 86400, 86401, rng.randrange(10**7)]) for _ in range(rng.choice([1, 2, 57, 200]))]
+    start = dt.datetime(2026, 3, 1)
+    rows_in = [("r", start, start + dt.timedelta(seconds=s)) for s in spans] + [("bad", start, None)]
+    rides = derive(spark.createDataFrame(rows_in, "ride_id string, started_at timestamp, ended_at timestamp"))
+    exact = reports.duration_stats(rides).first()
+    assert exact.median_duration_min == pytest.approx(sorted(spans)[(len(spans) - 1) // 2] / 60, abs=0.00501)
+    assert exact.avg_duration_min == pytest.approx(sum(spans) / len(spans) / 60, abs=0.00501)
+    assert exact.max_duration_min == pytest.approx(max(spans) / 60, abs=0.00501)
+    assert tuple(reports.duration_stats(rides, accuracy=10_000).first()) == tuple(exact)
+
+
 def test_groups_keep_null(rides):
     assert rows(reports.rides_by_member_type(rides)) == [("member", 3), (None, 1), ("casual", 1)]
     assert rows(reports.rides_by_rideable_type(rides)) == [("classic", 2), ("electric", 2), (None, 1)]

@@ -123,7 +123,9 @@ def test_empty_stations(status, history):
 @pytest.mark.parametrize("build, field", [(series.bike_series, 2), (series.dock_series, 3)])
 def test_series_since_is_strict(spark, status, history, build, field):
     moment = 1700000990
-    want = [(r[1], r[4] * 1000, r[field]) for r in sorted(history, key=lambda r: (r[4], r[0])) if r[1] == "s1"]
+    nulls_first = lambda value: (value is not None, value or 0)
+    want = [(r[1], r[4] * 1000, r[field]) for r in history if r[1] == "s1"]
+    want.sort(key=lambda r: (r[1], nulls_first(r[2])))
     assert any(r[1] == moment * 1000 for r in want)
     assert [tuple(r) for r in build(status, "s1").collect()] == want
     assert [tuple(r) for r in build(status, "s1", since=0).collect()] == want
