@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ridemetrics.operators import maintenance, reports, series, stations
 from ridemetrics.operators.rides import valid_rides
-from ridemetrics.plans import bridge
+from ridemetrics.plans import bridge, stored
 from ridemetrics.plans.bridge import table
 
 # Start of the incremental reads: 2024-01-15 00:00:00 UTC.
@@ -126,6 +126,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "station_count": lambda spark, sf_dir: stations.station_count(station(spark, sf_dir)),
     "station_upsert": station_upsert,
     "status_migrate": status_migrate,
+    "stream_status": stored.stream_status,
+    "stream_latest_status": stored.stream_latest_status,
+    "stream_new_points": stored.stream_new_points,
+    "csv_rides": stored.csv_rides,
+    "published_counts": stored.published_counts,
 }
 
 _RIDES = """
@@ -374,4 +379,27 @@ ORACLE: dict[str, str] = {
         "SELECT * FROM status UNION ALL SELECT id, station_id, num_bikes_available, num_docks_available, grab_time, "
         "cast(NULL AS int), cast(NULL AS int), cast(NULL AS int), cast(NULL AS int), cast(NULL AS int) FROM status"
     ),
+    "stream_status": _status_sql("SELECT * FROM status"),
+    "stream_latest_status": _with(
+        _STATUS,
+        _LATEST,
+        body="SELECT station_id, id, grab_time, num_bikes_available, num_docks_available, "
+        "num_bikes_available = 0 AS is_empty FROM latest",
+    ),
+    "stream_new_points": _series_sql("num_bikes_available"),
+    "csv_rides": _rides_sql(
+        "SELECT cast(ride_id AS varchar) AS ride_id, started_ts, ended_ts, ride_duration_minutes, "
+        "nullif(start_station_name, '') AS start_station_name, start_lat, member_casual FROM rides"
+    ),
+    "published_counts": _rides_sql(
+        "SELECT 'rides_by_member_type' AS report, member_casual AS key, cast(count(*) AS varchar) AS rides "
+        "FROM rides GROUP BY member_casual "
+        "UNION ALL SELECT 'rides_by_rideable_type', rideable_type, cast(count(*) AS varchar) FROM rides GROUP BY rideable_type "
+        "UNION ALL SELECT 'hourly_distribution', cast(hour(started_ts) AS varchar), cast(count(*) AS varchar) FROM rides "
+        "GROUP BY hour(started_ts) "
+        "UNION ALL SELECT 'top_start_stations', name, cast(n AS varchar) FROM (SELECT start_station_name AS name, count(*) AS n "
+        "FROM rides WHERE start_station_name <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10) "
+        "UNION ALL SELECT 'top_end_stations', name, cast(n AS varchar) FROM (SELECT end_station_name AS name, count(*) AS n "
+        "FROM rides WHERE end_station_name <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10)"
+    ),
 }
