@@ -36,6 +36,11 @@ def to_millis(name: str) -> Column:
     return F.col(name).cast("long") * F.lit(1000).cast("long")
 
 
+def utc_day(epoch_seconds: Column) -> Column:
+    """Date of an epoch second in UTC, whatever the session time zone."""
+    return F.date_from_unix_date(F.floor(epoch_seconds / 86400).cast("int"))
+
+
 def local_time(name: str) -> Column:
     """Epoch seconds as text in the session time zone."""
     return F.from_unixtime(F.col(name), "yyyy-MM-dd HH:mm:ss")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridemetrics.functions.expressions import to_millis
-from ridemetrics.operators.stations import StationIds, only_stations
+from ridemetrics.operators.stations import StationIds, later_than, only_stations
 
 
 def after_cursor(status: DataFrame, since: int | DataFrame | None) -> DataFrame:
@@ -15,10 +15,8 @@ def after_cursor(status: DataFrame, since: int | DataFrame | None) -> DataFrame:
     `since` is one time for all stations, or a relation of station_id and
     last_time. A cursor that is absent or not positive keeps everything.
     """
-    if since is None:
-        return status
     if not isinstance(since, DataFrame):
-        return status.filter(F.col("grab_time") > since) if since > 0 else status
+        return later_than(status, since)
     last_seen = F.coalesce(F.col("last_time"), F.lit(0))
     return (
         status.join(since.select("station_id", "last_time"), "station_id", "left")
@@ -28,7 +26,7 @@ def after_cursor(status: DataFrame, since: int | DataFrame | None) -> DataFrame:
 
 
 def _series(status, measure, ids, since, ordered) -> DataFrame:
-    rows = after_cursor(only_stations(status.select("station_id", "grab_time", measure), ids), since)
+    rows = after_cursor(only_stations(status, ids), since).select("station_id", "grab_time", measure)
     if ordered:
         # Ordering on time as well as station spreads a hot station over
         # several range partitions. The measure settles equal times without

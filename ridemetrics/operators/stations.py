@@ -15,7 +15,9 @@ from ridemetrics.functions.expressions import (
     local_time,
     or_not_available,
     to_millis,
+    utc_day,
 )
+from ridemetrics.schema import STATUS_PARTITION
 
 # Station ids asked for: one id, a short list, or a relation with a station_id
 # column. Ids and lists become literals and reach the Parquet scan as filters.
@@ -40,6 +42,18 @@ def only_stations(rows: DataFrame, ids: StationIds | None) -> DataFrame:
     return rows.filter(F.col("station_id").isin(_as_list(ids)))
 
 
+def later_than(rows: DataFrame, since: int | None) -> DataFrame:
+    """Rows strictly later than `since`; all rows when it is None or not positive.
+
+    On the stored status table the days before `since` are not read at all.
+    """
+    if since is None or since <= 0:
+        return rows
+    if STATUS_PARTITION in rows.columns:
+        rows = rows.filter(F.col(STATUS_PARTITION) >= utc_day(F.lit(since)))
+    return rows.filter(F.col("grab_time") > since)
+
+
 def target_status(status: DataFrame, targets: StationIds) -> DataFrame:
     """Status of target stations, with counters that are absent set to zero."""
     defaulted = [c for c in _COUNTERS if c in status.columns]
@@ -135,10 +149,7 @@ def status_history(
     ordered: bool = True,
 ) -> DataFrame:
     """Raw status rows, oldest first within each station."""
-    rows = only_stations(status, ids)
-    if since is not None and since > 0:
-        rows = rows.filter(F.col("grab_time") > since)
-    rows = rows.select(
+    rows = later_than(only_stations(status, ids), since).select(
         "id",
         "station_id",
         "num_bikes_available",

@@ -12,7 +12,7 @@ from ridemetrics.operators.reports import all_reports
 from ridemetrics.operators.rides import derive
 from ridemetrics.plans import bridge
 from ridemetrics.plans.bridge import table
-from ridemetrics.schema import STATUS
+from ridemetrics.schema import STATUS, STATUS_PARTITION
 from ridemetrics.session import scratch_dir
 from ridemetrics.sinks.reports import write_reports
 from ridemetrics.sources.reports import read_reports
@@ -49,7 +49,7 @@ def _ingested(spark: SparkSession, sf_dir: str, run: str) -> str:
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status rows ingested by a stream."""
     run = scratch_dir(spark, "stream-status")
-    return _as_bridge(read_status(spark, _ingested(spark, sf_dir, run)))
+    return _as_bridge(read_status(spark, _ingested(spark, sf_dir, run)).drop(STATUS_PARTITION))
 
 
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,9 @@ STATUS = (
     "is_returning int, num_bikes_disabled int, num_docks_disabled int"
 )
 
+# Stored status is partitioned by the UTC day of grab_time.
+STATUS_PARTITION = "grab_date"
+
 # Columns that status tables written by older versions lack.
 STATUS_ADDED = {
     "is_installed": "int",

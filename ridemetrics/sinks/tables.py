@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridemetrics.functions.expressions import utc_day
 from ridemetrics.operators.maintenance import needs_loading, upsert
-from ridemetrics.sources.tables import STATUS_PARTITION, read_stations
+from ridemetrics.schema import STATUS_PARTITION
+from ridemetrics.sources.tables import read_stations
 
 # What the reports read; other ride columns stay in the source files.
 RIDE_COLUMNS = [
@@ -35,10 +37,6 @@ def store_rides(rides: DataFrame, path: str) -> DataFrame:
     return rides.sparkSession.read.parquet(path)
 
 
-def grab_date() -> Column:
-    return F.to_date(F.timestamp_seconds("grab_time"))
-
-
 def store_status(status: DataFrame, path: str, mode: str = "append") -> None:
     """Write status rows by date, sorted so that one station's rows sit together.
 
@@ -46,7 +44,7 @@ def store_status(status: DataFrame, path: str, mode: str = "append") -> None:
     much of a day, and let row-group statistics skip other stations.
     """
     (
-        status.withColumn(STATUS_PARTITION, grab_date())
+        status.withColumn(STATUS_PARTITION, utc_day(F.col("grab_time")))
         .repartitionByRange(STATUS_PARTITION, "station_id", "grab_time")
         .sortWithinPartitions(STATUS_PARTITION, "station_id", "grab_time")
         .write.mode(mode)

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridemetrics.schema import STATUS
+from ridemetrics.schema import STATUS, STATUS_PARTITION
 
 # A file stream skips files much older than the newest one seen. This is long
 # enough that none is ever skipped, whatever its time.
 ANY_AGE = "36500d"
 
-# Partition column of the status table.
-STATUS_PARTITION = "grab_date"
-
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """Status rows; files from before a column existed give NULL for it."""
-    return spark.read.schema(f"{STATUS}, {STATUS_PARTITION} date").parquet(path).drop(STATUS_PARTITION)
+    """Status rows; files from before a column existed give NULL for it.
+
+    The partition column stays, so that reads since a moment skip older days.
+    """
+    return spark.read.schema(f"{STATUS}, {STATUS_PARTITION} date").parquet(path)
 
 
 def follow_status(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

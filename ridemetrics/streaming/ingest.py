@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ridemetrics.schema import TARGET_STATIONS
-from ridemetrics.sinks.tables import grab_date
+from ridemetrics.functions.expressions import utc_day
+from ridemetrics.schema import STATUS_PARTITION, TARGET_STATIONS
 from ridemetrics.sources.feeds import decode_status, read_polls
-from ridemetrics.sources.tables import ANY_AGE, STATUS_PARTITION
+from ridemetrics.sources.tables import ANY_AGE
 
 # Fixed value: time between polls.
 POLL_INTERVAL = "30 seconds"
@@ -35,7 +36,7 @@ def landed_polls(spark: SparkSession, landing: str, max_files: int | None = None
 def append_status(status: DataFrame, table: str, checkpoint: str, interval: str | None = POLL_INTERVAL) -> StreamingQuery:
     """Append a status stream to the date-partitioned table, exactly once."""
     writer = (
-        status.withColumn(STATUS_PARTITION, grab_date())
+        status.withColumn(STATUS_PARTITION, utc_day(F.col("grab_time")))
         .writeStream.format("parquet")
         .outputMode("append")
         .partitionBy(STATUS_PARTITION)

@@ -195,8 +195,29 @@ def test_stored_status_reads_old_files_and_prunes(spark, status, history, tmp_pa
     store_status(typed.drop("is_installed", "is_renting", "is_returning", "num_bikes_disabled", "num_docks_disabled"), path)
     store_status(typed, path)
     back = read_status(spark, path)
-    assert back.columns == FIELDS and back.count() == 800
+    assert back.columns == FIELDS + ["grab_date"] and back.count() == 800
     assert back.filter("num_docks_disabled is null").count() == 400
     series.bike_series(back, "s1", since=1700001000).explain("formatted")
     plan = capsys.readouterr().out
     assert "EqualTo(station_id,s1)" in plan and "GreaterThan(grab_time,1700001000)" in plan
+    assert "PartitionFilters: [isnotnull(grab_date" in plan and ">= 2023-11-14)" in plan
+
+
+def test_day_filter_keeps_every_later_row(spark, tmp_path):
+    midnight = 1700006400
+    rows = [(i, "s", i, 0, midnight + 7200 * i, 1, 1, 1, 0, 0) for i in range(-30, 30)]
+    path = str(tmp_path / "days")
+    status = spark.createDataFrame(rows, STATUS_LONG)
+    store_status(status.withColumn("id", status.id.cast("decimal(38,0)")), path)
+    back = read_status(spark, path)
+    assert back.select("grab_date").distinct().count() == 6
+    for since in [midnight - 1, midnight, midnight + 1, midnight - 86400, midnight + 43200]:
+        want = sorted(r[4] * 1000 for r in rows if r[4] > since)
+        for zone in ["UTC", "Pacific/Auckland", "America/Los_Angeles"]:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            try:
+                got = [r.ts_ms for r in series.bike_series(back, "s", since=since).collect()]
+                assert got == want
+                assert stations.status_history(back, "s", since=since).count() == len(want)
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
