@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import quote, urlparse
 
@@ -43,35 +43,39 @@ def _searching(reader: DataFrameReader, path: str) -> DataFrameReader:
     return reader if _names_files(path) else reader.option("pathGlobFilter", CSV_GLOB)
 
 
-def _open(path: str):
-    """Byte stream over `path`, decompressed by suffix, on whatever store holds it."""
-    from pyarrow import fs
+def _head_reader():
+    """Function that turns batches of paths into first lines with content.
 
-    scheme, rest = re.match(r"(?:([\w+.-]+):)?(.*)", path).groups()
-    if scheme in (None, "file"):
-        store, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    else:
+    Only the head of a file is read. Everything is local to the function, so
+    it travels to workers that lack this package.
+    """
+
+    def open_stream(path):
+        from pyarrow import fs
+
+        scheme, rest = re.match(r"(?:([\w+.-]+):)?(.*)", path).groups()
+        if scheme in (None, "file"):
+            return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
         scheme = "s3" if scheme.startswith("s3") else scheme
         store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
-    return store.open_input_stream(name)
+        return store.open_input_stream(name)
 
+    def first_line(path):
+        # Compression is detected by suffix; a byte order mark is dropped.
+        with open_stream(path) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig") as text:
+            return next((line.rstrip("\n") for line in text if line.strip()), None)
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First line with content of each file; only the head of a file is read."""
-    import io
+    def first_lines(batches):
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "header": [first_line(p) for p in batch["path"]]})
 
-    for batch in batches:
-        found = []
-        for path in batch["path"]:
-            with _open(path) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None) as text:
-                found.append((path, next((line.rstrip("\n") for line in text if line.strip()), None)))
-        yield pd.DataFrame(found, columns=["path", "header"])
+    return first_lines
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
     """Path and header line of every ride file. The listing reads no content."""
     files = _searching(spark.read.format("binaryFile"), path).load(path).select("path")
-    return files.coalesce(HEADER_TASKS).mapInPandas(_first_lines, "path string, header string")
+    return files.coalesce(HEADER_TASKS).mapInPandas(_head_reader(), "path string, header string")
 
 
 def header_columns(header: str) -> list[str]:
@@ -105,7 +109,7 @@ def _read_by_layout(spark: SparkSession, path: str) -> DataFrame:
         # Mixed layouts: the reader needs the paths of each. The driver holds
         # this list in its file index anyway; no rows pass through it.
         paths = defaultdict(list)
-        for row in headers.toLocalIterator():
+        for row in headers.collect():
             paths[tuple(aligned_names(header_columns(row.header)))].append(_literal_path(row.path))
     finally:
         headers.unpersist()
