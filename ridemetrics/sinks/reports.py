@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from ridemetrics.sources.rides import check_uri
@@ -18,8 +21,18 @@ def write_report(report: DataFrame, path: str, single_file: bool = True) -> None
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_reports(reports: dict[str, DataFrame], base: str) -> None:
-    """One folder per report under `base`, local or object store."""
+def write_reports(reports: dict[str, DataFrame], base: str, at_once: int = 4) -> None:
+    """One folder per report under `base`, local or object store.
+
+    A few reports run at once, so that the short last stages of one leave no
+    executors idle.
+    """
     base = check_uri(base).rstrip("/")
-    for name, report in reports.items():
+
+    def write(item):
+        name, report = item
         write_report(report, f"{base}/{name}", single_file=name not in UNBOUNDED)
+
+    spark = next(iter(reports.values())).sparkSession
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(inheritable_thread_target(spark)(write), reports.items()))

@@ -57,7 +57,7 @@ def _head_reader():
         if scheme in (None, "file"):
             return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
         scheme = "s3" if scheme.startswith("s3") else scheme
-        store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+        store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe="/:@")}")
         return store.open_input_stream(name)
 
     def first_line(path):

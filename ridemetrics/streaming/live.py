@@ -76,5 +76,5 @@ def read_live(spark: SparkSession, root: str) -> DataFrame:
     exactly zero.
     """
     slots = spark.read.parquet(root)
-    newest = slots.agg(F.max("batch_id")).first()[0]
+    newest = slots.agg(F.max("batch_id")).scalar()
     return slots.filter(F.col("batch_id") == newest).drop("slot", "batch_id")
