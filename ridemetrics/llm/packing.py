@@ -17,6 +17,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from ridemetrics.llm.common import NULL_ID, keyed, public_id
 WINDOW = 4096
 END_ID = 2
 GROUP_WINDOWS = 32
-#: Distinct words and parts of words a worker remembers the ids of.
-CACHE_WORDS = 1_500_000
+#: Distinct pieces of words a worker remembers the ids of.
+CACHE_PIECES = 1_200_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -51,61 +52,64 @@ def byte_letters() -> list[str]:
     return letters
 
 
-#: How the vocabulary cuts lower-case words made of these letters only.
+#: How the vocabulary cuts lower-case text made of the characters of _PLAIN only.
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_PLAIN = re.compile(r"[\x21-\x7eß-öø-ÿÀ-ÖØ-Þ]+")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7eß-öø-ÿÀ-ÖØ-Þ]*")
 
 
 class WordTokenizer:
-    """Ids of texts, word by word; equal to encoding whole texts.
+    """Ids of texts, piece by piece; equal to encoding whole texts.
 
-    The vocabulary's pattern drops white space and never spans it, so ids of a
-    text are those of its words in turn. Words met before come from a cache. A
-    new word of plain letters goes to the merge model at once, which is the part
-    of the tokenizer left after lower-casing and cutting; any other word goes
-    through the whole tokenizer.
+    The tokenizer lower-cases, cuts at its pattern, drops white space, and
+    merges inside each piece alone. Text of plain letters is cut here, and ids of
+    pieces met before come from a cache; new ones go to the merge model. Words
+    with any other character, and the special tokens, go through the whole
+    tokenizer, word by word: no piece spans white space.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word) or ("<|" in word and any(s in word for s in self.specials)):
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        return b"".join([self._piece(piece) for piece in _PIECES.findall(word.lower())])
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelt = "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = [token.id for token in self.tokenizer.model.tokenize(spelt)]
-            found = self.pieces[piece] = np.array(ids, "<u4").tobytes()
-        return found
+        self.cache_pieces = cache_pieces
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        words, known = _words(text), self.words
+    def _plain(self, text: str) -> bool:
+        special = "<|" in text and any(s in text for s in self.specials)
+        return not special and _PLAIN.fullmatch(text) is not None
+
+    def _cut(self, pieces: list[str]) -> bytes:
+        known = self.pieces
         try:
-            return b"".join([known[word] for word in words])
+            return b"".join([known[piece] for piece in pieces])
         except KeyError:
             pass
-        if len(known) + len(self.pieces) > self.cache_words:
+        if len(known) > self.cache_pieces:
             known.clear()
-            self.pieces.clear()
+        tokenize = self.tokenizer.model.tokenize
+        for piece in pieces:
+            if piece not in known:
+                spelt = piece
+                if not piece.isascii():
+                    spelt = "".join(map(self.letters.__getitem__, piece.encode()))
+                known[piece] = array("I", [token.id for token in tokenize(spelt)]).tobytes()
+        return b"".join([known[piece] for piece in pieces])
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if self._plain(text):
+            return self._cut(_PIECES.findall(text.lower()))
         out = []
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = known[word] = self._word(word)
-            out.append(found)
+        # Only these are cut at: they are white space to every part of the
+        # tokenizer, and no character composes across them.
+        for word in re.split("[\t\n\r ]+", text):
+            if self._plain(word):
+                out.append(self._cut(_PIECES.findall(word.lower())))
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                out.append(array("I", ids).tobytes())
         return b"".join(out)
 
 
@@ -117,12 +121,6 @@ def worker_tokenizer(path: str) -> WordTokenizer:
     return kept.__dict__[path]
 
 
-def _words(text: str) -> list[str]:
-    # Only these are cut at: they are white space to every part of the
-    # tokenizer, and no character composes across them.
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """Indices of `sizes` dealt to `windows` parts with nearly equal sums."""
     heap = []
