@@ -74,6 +74,12 @@ def source_targets(
     )
 
 
+def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on equal sources, NULL equal to NULL."""
+    right = right.withColumnRenamed("source", "_source")
+    return left.join(right, F.expr("source <=> _source"), how).drop("_source")
+
+
 def _draw(a: Column, b: Column, seed: int) -> Column:
     """Uniform in [0, 1), the same for the same pair."""
     bits = F.xxhash64(F.lit(seed), a["doc_id"], a["size"], b["doc_id"], b["size"])
@@ -178,8 +184,7 @@ def _settled(shares: DataFrame, fan_in: int, seed: int) -> list[DataFrame]:
     chosen = []
     for k in sorted(most):
         of_class = counts.filter(F.col("rank") == k).drop("rank")
-        same = left["source"].eqNullSafe(of_class["source"])
-        level = left.filter(F.col("rank") == k).join(of_class, same).drop(of_class["source"])
+        level = _by_source(left.filter(F.col("rank") == k), of_class)
         won, over = _tree(level, most[k], fan_in, seed)
         chosen.append(won)
         if k == max(most):
@@ -187,16 +192,11 @@ def _settled(shares: DataFrame, fan_in: int, seed: int) -> list[DataFrame]:
         left = left.filter(F.col("rank") > k)
         give = F.col("size") * F.col("p") * (1 - F.col("p"))
         room = left.groupBy("source").agg(F.sum(give).alias("room"))
-        share = room.join(over, room["source"].eqNullSafe(over["source"])).select(
-            room["source"], F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("over") / F.col("room"))).alias("c")
-        )
+        c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("over") / F.col("room")))
+        share = _by_source(room, over).select("source", c.alias("c"))
         p = F.col("p") + F.coalesce("c", F.lit(0.0)) * F.col("p") * (1 - F.col("p"))
-        left = materialise(
-            left.join(share, left["source"].eqNullSafe(share["source"]), "left").select(
-                left["source"], "rank", "size", "doc_id", p.alias("p")
-            ),
-            "mix-left",
-        ).filter((F.col("p") > 0) & (F.col("p") < 1))
+        moved = _by_source(left, share, "left").select("source", "rank", "size", "doc_id", p.alias("p"))
+        left = materialise(moved, "mix-left").filter((F.col("p") > 0) & (F.col("p") < 1))
     return chosen
 
 
@@ -229,7 +229,7 @@ def mix_sources(
     spark = items.sparkSession
     targets = source_targets(items, weights, most_copies)
     rows = items.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
-    joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    joined = _by_source(rows, targets)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor("due")
     spare = F.col("n") * (F.col("due") - whole)
@@ -244,15 +244,9 @@ def mix_sources(
     chosen = _settled(shares, fan_in, seed)
     if chosen:
         won = reduce(DataFrame.unionAll, [c.select("source", "doc_id", "size") for c in chosen])
-        won = won.withColumn("won", F.lit(1))
-        same = (
-            shares["source"].eqNullSafe(won["source"])
-            & (shares["doc_id"] == won["doc_id"])
-            & (shares["size"] == won["size"])
-        )
-        settled = shares.join(won, same, "left").select(
-            *[shares[c] for c in shares.columns], F.coalesce("won", F.lit(0)).alias("won")
-        )
+        won = won.toDF("_source", "_doc_id", "_size").withColumn("won", F.lit(1))
+        same = F.expr("source <=> _source AND doc_id = _doc_id AND size = _size")
+        settled = shares.join(won, same, "left").withColumn("won", F.coalesce("won", F.lit(0)))
     else:
         settled = shares.withColumn("won", F.lit(0))
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEAT_BLOCK)))
