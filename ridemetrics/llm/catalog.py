@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ridemetrics.llm.embedding_dedup import embedding_dedup
 from ridemetrics.llm.exact_dedup import exact_dedup
 from ridemetrics.llm.line_dedup import line_dedup
+from ridemetrics.llm.lm_scoring import lm_scores
 from ridemetrics.llm.mixing import mix_sources
 from ridemetrics.llm.packing import pack_documents
+from ridemetrics.llm.quality import quality_scores
 from ridemetrics.llm.simhash import simhash_components
 from ridemetrics.llm.substring_dedup import substring_dedup
 from ridemetrics.llm.suffix_dedup import suffix_dedup
@@ -27,6 +29,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -52,15 +58,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), path)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE = {

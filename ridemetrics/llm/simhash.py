@@ -284,3 +284,13 @@ def simhash_components(
     return prints.join(named, "fp").select(
         public_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), public_id("component_id")
     )
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its component; columns as they are.
+
+    Rows that share an id stay or go together.
+    """
+    groups = simhash_components(docs, id_col, text_col, **options)
+    firsts = groups.select(F.col("component_id").alias("first_id")).distinct()
+    return docs.join(firsts, docs[id_col].cast("long").eqNullSafe(firsts["first_id"]), "left_semi")
