@@ -40,6 +40,17 @@ def public_id(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that `df` does not use."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

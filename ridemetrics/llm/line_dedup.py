@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridemetrics.llm.common import NULL_ID, keyed, materialise, public_id
+from ridemetrics.llm.common import NULL_ID, keyed, materialise, public_id, spare_names
 
 ROLL_LINES = 2
 LEAST_LINES = 2
@@ -190,17 +190,18 @@ def deduped_documents(
 
     Documents of which nothing is left have an empty text; NULL texts stay NULL.
     """
-    cuts = (
+    cut_id, cut_hash, cuts = spare_names(docs, "cut_id", "cut_hash", "cuts")
+    found = (
         repeated_chunks(keyed(docs, id_col, text_col), **options)
-        .groupBy(F.col("doc_id").alias("cut_id"), F.col("row_hash").alias("cut_hash"))
-        .agg(F.collect_list(F.struct("first_line", "n_lines")).alias("cuts"))
+        .groupBy(F.col("doc_id").alias(cut_id), F.col("row_hash").alias(cut_hash))
+        .agg(F.collect_list(F.struct("first_line", "n_lines")).alias(cuts))
     )
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == F.col("cut_id")) & (
-        F.xxhash64(text) == F.col("cut_hash")
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == F.col(cut_id)) & (
+        F.xxhash64(text) == F.col(cut_hash)
     )
-    joined = docs.join(cuts, same, "left")
-    kept = F.when(F.col("cuts").isNull(), docs[text_col]).otherwise(
-        F.pandas_udf(_kept_texts, "string")(docs[text_col], F.to_json("cuts"))
+    joined = docs.join(found, same, "left")
+    kept = F.when(F.col(cuts).isNull(), docs[text_col]).otherwise(
+        F.pandas_udf(_kept_texts, "string")(docs[text_col], F.to_json(cuts))
     )
     return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])

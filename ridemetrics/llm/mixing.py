@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridemetrics.llm.common import NULL_ID, materialise, public_id
+from ridemetrics.llm.common import NULL_ID, materialise, public_id, spare_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -277,16 +277,13 @@ def mixed_documents(
     Rows that share an id share its copies: all get the most that one of them has.
     """
     mix = mix_sources(docs, id_col, text_col, source_col, **options)
+    mix_id, mix_size, mix_copies, nth = spare_names(docs, "mix_id", "mix_size", "mix_copies", "mix_nth")
     copies = (
-        mix.groupBy(F.col("doc_id").alias("mix_doc_id"), F.col("size").alias("mix_size"))
-        .agg(F.max("copies").alias("mix_copies"))
-        .filter("mix_copies > 0")
+        mix.groupBy(F.col("doc_id").alias(mix_id), F.col("size").alias(mix_size))
+        .agg(F.max("copies").cast("int").alias(mix_copies))
+        .filter(F.col(mix_copies) > 0)
     )
-    names = docs.columns
     size = word_count(docs[text_col].cast("string"))
-    same = docs[id_col].cast("long").eqNullSafe(copies["mix_doc_id"]) & (size == copies["mix_size"])
-    return (
-        docs.join(copies, same)
-        .withColumn("mix_nth", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*[docs[c] for c in names])
-    )
+    same = docs[id_col].cast("long").eqNullSafe(F.col(mix_id)) & (size == F.col(mix_size))
+    repeated = docs.join(copies, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(mix_copies))))
+    return repeated.select(*[docs[c] for c in docs.columns])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridemetrics.llm.common import keyed, materialise, public_id
+from ridemetrics.llm.common import keyed, materialise, public_id, spare_names
 from ridemetrics.llm.components import Forest, connected_components
 
 SHINGLE_WORDS = 3
@@ -292,5 +292,6 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id stay or go together.
     """
     groups = simhash_components(docs, id_col, text_col, **options)
-    firsts = groups.select(F.col("component_id").alias("first_id")).distinct()
-    return docs.join(firsts, docs[id_col].cast("long").eqNullSafe(firsts["first_id"]), "left_semi")
+    (first_id,) = spare_names(docs, "first_id")
+    firsts = groups.select(F.col("component_id").alias(first_id)).distinct()
+    return docs.join(firsts, docs[id_col].cast("long").eqNullSafe(F.col(first_id)), "left_semi")

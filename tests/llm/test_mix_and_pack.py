@@ -1,0 +1,183 @@
+"""Mixing and packing: exact properties, and round trips."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from ridemetrics.llm.mixing import mix_sources, mixed_documents
+from ridemetrics.llm.packing import END_ID, WINDOW, WordTokenizer, difference, pack_documents, pack_group
+
+SCHEMA = "doc_id long, text string, source string, won string"
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, held = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in held)
+        weigh = sum(weight[s] for s in names if s not in held)
+        now = {s: most * sizes[s] if s in held else left * weight[s] / weigh for s in names}
+        over = {s for s in names if s not in held and now[s] > most * sizes[s]}
+        if not over:
+            return now
+        held |= over
+
+
+def mix_rows(seed=1):
+    r = random.Random(seed)
+    rows = []
+    for i in range(900):
+        source = "hot" if i % 3 == 0 else r.choice(["a", "Z", "é", None, "tiny"] if i % 40 else ["tiny2"])
+        words = int(r.lognormvariate(3, 1))
+        rows.append((i, "w\t" * words, source, "x"))
+    rows += [(5000, None, "a", "x"), (5001, "", "only empty", "x"), (None, "some words here", "hot", "x")]
+    rows += [(7, "three words here", "hot", "x")] * 5
+    return rows
+
+
+def test_mix_targets_sizes_and_limits(spark):
+    rows = mix_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mix_sources(docs, fan_in=8).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, source_of = {}, {}
+    for doc_id, text, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size(text)
+        source_of[doc_id, size(text)] = source
+    want = brute_targets(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        source = source_of[r.doc_id, r.size]
+        assert r.source_size == sizes[source]
+        assert r.target == pytest.approx(want[source])
+        assert r.taken == r.copies * r.size <= 3 * r.size
+        due = want[source] / sizes[source] if sizes[source] else 0
+        if r.size:
+            assert int(due) <= r.copies <= int(due) + 1
+        taken[source] += r.taken
+    for source, target in want.items():
+        assert abs(taken[source] - target) <= max(0.05 * target, 30), source
+    assert sum(r.taken for r in got) == pytest.approx(sum(sizes.values()), rel=0.02)
+
+
+def test_reruns_agree_whatever_the_partitions(spark):
+    docs = spark.createDataFrame(mix_rows(), SCHEMA)
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    first = sorted(mix_sources(docs.repartition(1)).collect(), key=key)
+    assert sorted(mix_sources(docs.repartition(5)).collect(), key=key) == first
+
+
+def test_copies_are_fair(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 2], "x") for i in range(120)], SCHEMA)
+    total = np.zeros(120)
+    for seed in range(12):
+        for r in mix_sources(docs, seed=seed).collect():
+            total[r.doc_id] += r.copies
+    due = {r.doc_id: r.target / r.source_size for r in mix_sources(docs).collect()}
+    want = np.array([due[i] for i in range(120)])
+    assert abs((total / 12 - want)[::2].mean()) < 0.1
+    assert abs((total / 12 - want)[1::2].mean()) < 0.1
+
+
+def test_mixing_uses_no_python(spark):
+    docs = spark.createDataFrame(mix_rows(), SCHEMA)
+    plan = mix_sources(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_mix_of_nothing(spark):
+    assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+    empty = spark.createDataFrame([(1, None, "a", "x"), (2, " ", None, "x")], SCHEMA)
+    assert [(r.taken, r.target) for r in mix_sources(empty).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+def test_mixed_documents_repeat_rows(spark):
+    docs = spark.createDataFrame([(i, "w " * 5, "ab"[i % 5 == 0], "x") for i in range(100)], SCHEMA)
+    got = mixed_documents(docs)
+    assert got.columns == docs.columns
+    copies = {r.doc_id: r.copies for r in mix_sources(docs).collect()}
+    found = {}
+    for r in got.collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == {i: c for i, c in copies.items() if c}
+
+
+ODD = [
+    "", " ", "a b", "á ́b x<|endoftext|>y  <|endoftext|> z", "it's 's don 't 'S O'RE\x0bq\x0c w",
+    "İstanbul ǅ ﬁ", "e ́", "​ a\u0085b", "ÄÖß×÷É¿ a×b 12ab3 $$$*** 'sthe 'll'll a'sb",
+    "a\x01b\x7f", "ª º µ", "ΣΑΣ σας", "日本 語 text", "'d 'm",
+]
+
+
+def test_tokens_equal_the_tokenizer():
+    tokenizer = Tokenizer.from_file(PATH)
+    own = WordTokenizer(PATH, cache_pieces=3)
+    r = random.Random(1)
+    letters = "aAbB'sStT  \n\t12$%ßéÉ<|>.,x"
+    texts = ODD + ["".join(r.choice(letters) for _ in range(60)) for _ in range(300)]
+    for text in texts * 2:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == np.array(want, "<u4").tobytes(), text
+
+
+def test_differencing_deals_all_and_evenly():
+    r = random.Random(2)
+    sizes = [r.randint(1, 900) for _ in range(200)]
+    parts = difference(sizes, 16)
+    assert sorted(i for p in parts for i in p) == list(range(200))
+    loads = [sum(sizes[i] for i in p) for p in parts]
+    assert max(loads) - min(loads) <= 8
+    assert difference([], 3) == [[], [], []]
+    assert sorted(map(len, difference([5, 4], 4))) == [0, 0, 1, 1]
+
+
+def test_groups_need_no_padding():
+    r = random.Random(3)
+    for _ in range(40):
+        lengths = [r.choice([1, r.randint(1, 300), r.randint(1, 20000)]) for _ in range(r.randint(1, 60))]
+        windows = pack_group(lengths)
+        loads = [sum(p[2] for p in w) for w in windows]
+        assert all(x == WINDOW or x & (x - 1) == 0 for x in loads) and min(loads) > 0
+        seen = {}
+        for doc, start, length in (p for w in windows for p in w):
+            seen.setdefault(doc, []).append((start, length))
+        for doc, length in enumerate(lengths):
+            at = 0
+            for start, size in sorted(seen[doc]):
+                assert start == at
+                at += size
+            assert at == length
+
+
+def test_packing_round_trip(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["the", "of", "Wort", "été", "x1"]) for _ in range(r.choice([0, 5, 300, 9000]))), i) for i in range(60)]
+    rows += [(100 + i, t, 0) for i, t in enumerate(ODD)] + [(200, None, 0), (None, "no id", 0), (3, rows[3][1], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length long").repartition(3)
+    got = pack_documents(docs, PATH, group_windows=4).collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, END_ID] for d, t, _ in rows}
+    sequences = {}
+    for p in got:
+        own = ids[p.doc_id]
+        assert p.doc_tokens == len(own)
+        piece = np.array(own[p.start : p.start + p.length], "<u4")
+        assert len(piece) == p.length > 0
+        assert p.ids_crc32 == zlib.crc32(piece.tobytes())
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == WINDOW or at & (at - 1) == 0
+    assert sum(p.length for p in got) == sum(len(ids[d]) for d, _, _ in rows)
+    assert pack_documents(docs.limit(0), PATH).count() == 0
