@@ -55,8 +55,12 @@ def winnow(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """A prime, about four buckets per shuffle partition."""
-    n = 4 * shuffle_width(spark) | 1
+    """A prime, about two buckets per shuffle partition.
+
+    A bucket gives back one row per bucket it has something for, so rows grow with
+    the square of this number, whatever the data.
+    """
+    n = 2 * shuffle_width(spark) | 1
     while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
         n += 2
     return n
