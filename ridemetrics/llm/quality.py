@@ -217,6 +217,8 @@ def fit(
         .mapInArrow(_trainer(most_bytes, updates), "name string, body binary")
         .collect()
     )
+    if not found:
+        return new_model()
     shapes = {k: v.shape for k, v in new_model().items()}
     return {r["name"]: np.frombuffer(bytes(r["body"]), "<f4").reshape(shapes[r["name"]]) for r in found}
 
