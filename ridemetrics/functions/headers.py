@@ -46,8 +46,12 @@ def align_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*aligned_names(df.columns))
 
 
+def missing_columns(names: list[str], required: list[str] = RIDE_REQUIRED) -> list[str]:
+    return [name for name in required if name not in names]
+
+
 def require_columns(df: DataFrame, required: list[str] = RIDE_REQUIRED) -> DataFrame:
-    missing = [name for name in required if name not in df.columns]
+    missing = missing_columns(df.columns, required)
     if missing:
-        raise ValueError(f"Missing required columns after normalization: {missing}")
+        raise ValueError(f"Ride columns not found under any accepted header name: {missing}")
     return df

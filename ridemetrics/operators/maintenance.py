@@ -9,13 +9,15 @@ from ridemetrics.schema import STATUS_ADDED
 
 
 def last_per_key(rows: DataFrame, order: str, key: str = "station_id") -> DataFrame:
-    """The last row of each key in `order`, without the ordering column."""
-    carried = [c for c in rows.columns if c not in (key, order)]
-    return (
-        rows.groupBy(key)
-        .agg(F.max_by(F.struct(*carried), order).alias("last"))
-        .select(key, "last.*")
-    )
+    """The last row of each key in `order`, without the ordering column.
+
+    The winning order is found first, over two narrow columns in a hash
+    aggregation that combines on the map side; text would turn it into a sort of
+    the whole feed. Only winners then meet their rows. Orders must not repeat
+    within a key.
+    """
+    last = rows.groupBy(key).agg(F.max(order).alias(order))
+    return rows.join(last, [key, order], "left_semi").drop(order)
 
 
 def upsert(
@@ -24,10 +26,11 @@ def upsert(
     """`stored` with the rows of `incoming` inserted or put in place of their key.
 
     With `order`, `incoming` may repeat a key and its last row wins. Without
-    it, keys in `incoming` must be unique.
+    it, keys in `incoming` must be unique. The keys alone decide which stored rows
+    stay, so no text is read for that.
     """
     fresh = last_per_key(incoming, order, key) if order else incoming
-    return fresh.unionByName(stored.join(fresh.select(key), key, "left_anti"))
+    return fresh.unionByName(stored.join(incoming.select(key).distinct(), key, "left_anti"))
 
 
 def needs_loading(stored: DataFrame, wanted: int) -> bool:

@@ -16,7 +16,8 @@ from ridemetrics.schema import REPORT_COLUMNS
 
 
 def empty_report(rides: DataFrame, name: str) -> DataFrame:
-    return rides.sparkSession.createDataFrame([], REPORT_COLUMNS[name])
+    columns = [column.split() for column in REPORT_COLUMNS[name].split(", ")]
+    return rides.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in columns])
 
 
 def overview(rides: DataFrame) -> DataFrame:
@@ -55,13 +56,18 @@ def _exact_duration_stats(valid: DataFrame) -> DataFrame:
     whole = Window.partitionBy(F.lit(0))
     middle_day = (
         per_duration.groupBy("day")
-        .agg(F.sum(rides).alias("n"), F.sum(minutes * rides).alias("total"), F.max(minutes).alias("longest"))
+        # Whole seconds, so that the sum does not depend on its order.
+        .agg(
+            F.sum(rides).alias("n"),
+            F.sum(F.round(minutes * 60).cast("long") * rides).alias("total"),
+            F.max(minutes).alias("longest"),
+        )
         .select(
             "day",
             F.sum("n").over(whole.orderBy("day")).alias("up_to"),
             "n",
             F.ceil(F.sum("n").over(whole) / 2).alias("middle"),
-            (F.sum("total").over(whole) / F.sum("n").over(whole)).alias("mean"),
+            (F.sum("total").over(whole) / 60 / F.sum("n").over(whole)).alias("mean"),
             F.max("longest").over(whole).alias("longest"),
         )
         .filter((F.col("up_to") >= F.col("middle")) & (F.col("up_to") - F.col("n") < F.col("middle")))

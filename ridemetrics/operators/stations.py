@@ -17,7 +17,7 @@ from ridemetrics.functions.expressions import (
     to_millis,
     utc_day,
 )
-from ridemetrics.schema import STATUS_PARTITION
+from ridemetrics.schema import STATUS_ADDED, STATUS_PARTITION
 
 # Station ids asked for: one id, a short list, or a relation with a station_id
 # column. Ids and lists become literals and reach the Parquet scan as filters.
@@ -56,18 +56,19 @@ def later_than(rows: DataFrame, since: int | None) -> DataFrame:
 
 def target_status(status: DataFrame, targets: StationIds) -> DataFrame:
     """Status of target stations, with counters that are absent set to zero."""
-    defaulted = [c for c in _COUNTERS if c in status.columns]
+    defaulted = [c for c in STATUS_ADDED if c in status.columns]
     return only_stations(status, targets).withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in defaulted}
     )
 
 
-_COUNTERS = ["is_installed", "is_renting", "is_returning", "num_bikes_disabled", "num_docks_disabled"]
-
-
 def latest_rows(rows: DataFrame, recency: str = "id", key: str = "station_id") -> DataFrame:
     """The whole newest row of each key, newest by `recency`.
 
+    `recency` must not repeat within a key: of two rows that share it, columns
+    could come from either. Ids are unique unless the same rows are stored twice,
+    and then the two rows are equal.
+
     One aggregation and one scan. Taking column by column instead of packing a
     struct keeps fixed-width columns in a hash aggregation that combines on
     the map side; a struct buffer would sort all rows first.

@@ -131,6 +131,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_new_points": stored.stream_new_points,
     "csv_rides": stored.csv_rides,
     "published_counts": stored.published_counts,
+    "status_mixed_writes": stored.status_mixed_writes,
+    "csv_mixed_layouts": stored.csv_mixed_layouts,
+    "feed_status": stored.feed_status,
+    "feed_refused": stored.feed_refused,
+    "feed_stations": stored.feed_stations,
+    "first_load": stored.first_load,
+    "published_reports": stored.published_reports,
+    "published_fallback": stored.published_fallback,
+    "reports_minimal": stored.reports_minimal,
+    "cursor_series": stored.cursor_series,
 }
 
 _RIDES = """
@@ -239,6 +249,23 @@ def _text(column: str) -> str:
     return f"coalesce(cast({column} AS varchar), 'N/A') AS {column}"
 
 
+
+def _unless_few(column: str, value: str | None = None) -> str:
+    """A ride column that one of the three CSV layouts lacks."""
+    return f"CASE WHEN ride_id % 3 <> 2 THEN {value or column} END AS {column}"
+
+
+def _cells_sql(report: str, name: str, count: str, key: str | None = None, top: bool = False) -> str:
+    """The cells of a counting report."""
+    key = key or name
+    where = f"WHERE {key} <> ''" if top else ""
+    best = "ORDER BY n DESC, key LIMIT 10" if top else ""
+    return (
+        f"SELECT '{report}', unnest(['{name}', '{count}']), unnest([cast(key AS varchar), cast(n AS varchar)]) "
+        f"FROM (SELECT {key} AS key, count(*) AS n FROM rides {where} GROUP BY 1 {best})"
+    )
+
+
 ORACLE: dict[str, str] = {
     "overview": _rides_sql(
         "SELECT count(*) AS total_rides, count(DISTINCT ride_id) AS distinct_ride_ids, "
@@ -402,4 +429,80 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'top_end_stations', name, cast(n AS varchar) FROM (SELECT end_station_name AS name, count(*) AS n "
         "FROM rides WHERE end_station_name <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10)"
     ),
+    "status_mixed_writes": _status_sql("SELECT * FROM status"),
+    "csv_mixed_layouts": _rides_sql(
+        f"""
+        SELECT cast(ride_id AS varchar) AS ride_id, started_ts, ended_ts, ride_duration_minutes,
+               {_unless_few('rideable_type')},
+               {_unless_few('start_station_name', "nullif(start_station_name, '')")},
+               {_unless_few('start_station_id', "'0' || ride_id % 100")},
+               {_unless_few('end_station_name', "nullif(end_station_name, '')")},
+               {_unless_few('end_station_id', "(ride_id % 90) || '.10'")},
+               {_unless_few('start_lat')}, {_unless_few('start_lng')}, {_unless_few('end_lat')}, {_unless_few('end_lng')},
+               {_unless_few('member_casual')}
+        FROM rides
+        """
+    ),
+    "feed_status": _with(
+        _STATUS,
+        "k_of AS (SELECT event_id AS id, cast(json_extract_string(props, '$.k') AS int) AS k FROM events)",
+        body="""
+        SELECT station_id, CASE WHEN k % 7 <> 0 THEN num_bikes_available END AS num_bikes_available,
+               num_docks_available, CASE WHEN k = 0 THEN 0 ELSE is_installed END AS is_installed,
+               coalesce(is_renting, 0) AS is_renting, coalesce(is_returning, 0) AS is_returning,
+               num_bikes_disabled, num_docks_disabled
+        FROM status JOIN k_of USING (id) WHERE grab_time // 86400 % 5 <> 0
+        """,
+    ),
+    "feed_refused": _status_sql(
+        "SELECT DISTINCT grab_time // 86400 AS day, 'bad station' AS reason FROM status WHERE grab_time // 86400 % 5 = 0"
+    ),
+    "feed_stations": _with(_STATION, body="SELECT station_id, name, lat, lon, capacity FROM station"),
+    "first_load": _with(_STATION, body="SELECT station_id, name, lat, lon, capacity FROM station WHERE station_id % 2 = 0"),
+    "published_reports": _rides_sql(
+        f"""
+        SELECT 'overview' AS report, unnest(['total_rides', 'distinct_ride_ids', 'first_ride_start', 'last_ride_end']) AS field,
+               unnest([cast(count(*) AS varchar), cast(count(DISTINCT ride_id) AS varchar),
+                       strftime(min(started_ts), '%Y-%m-%dT%H:%M:%S.%g'), strftime(max(ended_ts), '%Y-%m-%dT%H:%M:%S.%g')]) AS value
+        FROM rides
+        UNION ALL
+        SELECT 'duration_stats', unnest(['avg_duration_min', 'median_duration_min', 'max_duration_min']),
+               unnest([cast(round(avg(ride_duration_minutes), 2) AS varchar),
+                       cast(round(quantile_disc(ride_duration_minutes, 0.5), 2) AS varchar),
+                       cast(round(max(ride_duration_minutes), 2) AS varchar)])
+        FROM rides WHERE ride_duration_minutes >= 0
+        UNION ALL {_cells_sql('rides_by_member_type', 'member_casual', 'rides')}
+        UNION ALL {_cells_sql('rides_by_rideable_type', 'rideable_type', 'rides')}
+        UNION ALL {_cells_sql('top_start_stations', 'start_station_name', 'rides_started', top=True)}
+        UNION ALL {_cells_sql('top_end_stations', 'end_station_name', 'rides_ended', top=True)}
+        UNION ALL {_cells_sql('hourly_distribution', 'hour_of_day', 'rides', key='hour(started_ts)')}
+        UNION ALL
+        SELECT 'data_quality',
+               unnest(['missing_start_station_name', 'missing_end_station_name', 'missing_start_coords', 'missing_end_coords']),
+               unnest([cast(count(*) FILTER (coalesce(start_station_name, '') = '') AS varchar),
+                       cast(count(*) FILTER (coalesce(end_station_name, '') = '') AS varchar),
+                       cast(count(*) FILTER (start_lat IS NULL OR start_lng IS NULL) AS varchar),
+                       cast(count(*) FILTER (end_lat IS NULL OR end_lng IS NULL) AS varchar)])
+        FROM rides
+        """
+    ),
+    "published_fallback": _rides_sql(
+        "SELECT cast(hour(started_ts) AS varchar) AS hour_of_day, cast(count(*) AS varchar) AS rides FROM rides GROUP BY 1"
+    ),
+    "reports_minimal": _rides_sql(
+        """
+        SELECT 'overview' AS report, least(count(*), 1) AS "rows", 0::bigint AS empty_cells FROM rides
+        UNION ALL SELECT 'duration_stats', least(count(*), 1), 0 FROM rides
+        UNION ALL SELECT unnest(['rides_by_member_type', 'rides_by_rideable_type', 'top_start_stations', 'top_end_stations']), 0, 0
+        UNION ALL SELECT 'hourly_distribution', count(DISTINCT hour(started_ts)), 0 FROM rides
+        UNION ALL SELECT 'data_quality', least(count(*), 1), 4 FROM rides
+        """
+    ),
+    "cursor_series": _with(
+        _STATUS,
+        "cursors AS (SELECT c_custkey AS station_id, 1704067200 + c_nationkey::bigint * 86400 AS last_time FROM customer)",
+        body="SELECT consumer_id, s.station_id, s.grab_time * 1000 AS ts_ms, s.num_bikes_available AS value "
+        "FROM status s JOIN cursors c ON c.station_id = s.station_id CROSS JOIN (VALUES (1), (2)) AS n(consumer_id) "
+        "WHERE s.grab_time > c.last_time + consumer_id * 86400",
+    ),
 }

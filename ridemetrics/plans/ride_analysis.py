@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 import argparse
+import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +16,7 @@ from ridemetrics.operators.rides import derive
 from ridemetrics.session import configure, scratch_dir, shared_dir
 from ridemetrics.sinks.reports import write_reports
 from ridemetrics.sinks.tables import store_rides
+from ridemetrics.sources import files
 from ridemetrics.sources.rides import check_uri, read_rides
 
 
@@ -27,16 +30,28 @@ def analyze(
 ) -> None:
     """Read rides, stage them as Parquet, write the reports.
 
-    Staging parses the text once; without a stage path or a shared folder the
-    reports read the text directly.
+    Staging parses the text once. Without a stage path the copy lies in the shared
+    folder, or beside the output, and goes when the reports are written.
     """
     check_uri(output_path)
+    for name, path in (("output", output_path), ("stage", stage)):
+        if path and _holds(spark, path, input_path):
+            raise ValueError(f"The {name} folder {path} would overwrite the input {input_path}")
     rides = derive(read_rides(spark, input_path, mixed_headers))
-    if stage is None and shared_dir(spark):
-        stage = scratch_dir(spark, "rides")
-    if stage:
-        rides = store_rides(rides, stage)
-    write_reports(all_reports(rides, accuracy), output_path)
+    own = stage is None
+    if own:
+        stage = scratch_dir(spark, "rides") if shared_dir(spark) else f"{output_path.rstrip('/')}/_rides-{uuid.uuid4().hex}"
+    try:
+        write_reports(all_reports(store_rides(rides, stage), accuracy), output_path)
+    finally:
+        if own:
+            files.delete(spark, stage)
+
+
+def _holds(spark: SparkSession, folder: str, path: str) -> bool:
+    """True where `folder` is `path` or lies above it."""
+    fixed = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    return f"{files.qualified(spark, fixed or '.')}/".startswith(f"{files.qualified(spark, folder)}/")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -40,6 +40,7 @@ REPORT_COLUMNS = {
     ),
 }
 
+# Columns of the station and status tables.
 STATION = "station_id string, name string, lat double, lon double, capacity int"
 
 # `id` grows with insertion order. Decimal because streamed rows build it from
@@ -53,7 +54,12 @@ STATUS = (
 # Stored status is partitioned by the UTC day of grab_time.
 STATUS_PARTITION = "grab_date"
 
-# Columns that status tables written by older versions lack.
+# Below a day, one folder per load: a micro-batch, a batch write, a compaction.
+# Rows of one load are replaced together, never those of another.
+STATUS_LOAD = "load"
+COMPACTED = "compact-"
+
+# Columns that status tables written by older versions lack.
 STATUS_ADDED = {
     "is_installed": "int",
     "is_renting": "int",

@@ -18,7 +18,7 @@ from ridemetrics.schema import STATUS_ADDED
 
 # Stations stay text maps: that tells an absent field from an explicit null
 # and keeps booleans apart from numbers.
-FEED = "data struct<stations: array<map<string, string>>>, _corrupt_record string"
+FEED = "array<struct<data: struct<stations: array<map<string, string>>>>>"
 
 # Fields without which a poll is refused.
 STATUS_REQUIRED = ["num_bikes_available", "num_docks_available"]
@@ -31,19 +31,23 @@ STATUS_DEFAULTED = list(STATUS_ADDED)
 def read_polls(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """Landed documents with their arrival time in whole seconds.
 
-    Arrival is the file's own time, so replaying a poll stamps it the same.
+    Arrival is the file's own time, so replaying a poll stamps it the same as
+    long as that time is kept; a store that moves files by copying stamps an
+    archived poll anew. A file is one document: in brackets it must be an array
+    of one, so a cut file and a file with a second document are unreadable.
     """
     arrived = F.col("_metadata.file_modification_time")
+    body = F.regexp_replace("value", "^\\uFEFF", "")
+    documents = F.from_json(F.concat(F.lit("["), body, F.lit("]")), FEED)
+    one = F.coalesce(F.size(documents) == 1, F.lit(False))
     return (
-        reader.schema(FEED)
-        .option("multiLine", True)
-        .json(path)
+        reader.text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("poll_id"),
             F.unix_millis(arrived).alias("arrived_ms"),
             F.unix_timestamp(arrived).alias("grab_time"),
-            F.col("data.stations").alias("stations"),
-            F.col("_corrupt_record").alias("unreadable"),
+            F.when(one, F.get(documents, 0)["data"]["stations"]).alias("stations"),
+            (~one).alias("unreadable"),
         )
     )
 
@@ -158,7 +162,7 @@ def refused_polls(polls: DataFrame, targets: Sequence[str] | None = None) -> Dat
     return polls.filter(~_sound(polls, targets, _bad_status)).select(
         "poll_id",
         "grab_time",
-        F.when(F.col("unreadable").isNotNull(), "unreadable")
+        F.when(F.col("unreadable"), "unreadable")
         .when(F.col("stations").isNull(), "no stations")
         .otherwise("bad station")
         .alias("reason"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,11 @@ def read_reports(
             check_uri(store_uri)
             tables = _load(spark, store_uri)
             return ReportSet(True, "Reports loaded from the object store.", store_uri, tables)
-        except Exception as error:  # any store failure means "use the local copy"
+        except (ValueError, AnalysisException, Py4JJavaError) as error:
+            if isinstance(error, Py4JJavaError) and "java.io" not in str(error.java_exception.getClass().getName()):
+                cause = error.java_exception.getCause()
+                if cause is None or "IOException" not in cause.getClass().getName():
+                    raise
             problem = f" Object store failed: {type(error).__name__}."
     base = freshest(spark, candidates)
     if base is None:

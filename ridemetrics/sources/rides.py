@@ -5,19 +5,22 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections import Counter, defaultdict
-from functools import reduce
+from collections import Counter
 from urllib.parse import quote, urlparse
 
-import pandas as pd
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridemetrics.functions.headers import align_columns, aligned_names, require_columns
+from ridemetrics.functions.headers import align_columns, aligned_names, missing_columns, require_columns
 from ridemetrics.schema import RIDE_COORDINATES
+from ridemetrics.sources import files
 
-CSV_GLOB = "*.[cC][sS][vV]"
+CSV_GLOB = "*.[cC][sS][vV]{,.gz,.bz2,.zst}"
+CSV_NAME = re.compile(r"\.csv(\.(gz|bz2|zst))?$", re.IGNORECASE)
+
+# Distinct header lines that one set of ride files may have.
+MOST_LAYOUTS = 1000
 
 # Listing yields one partition per large file. This many tasks are enough to
 # read the first lines of millions of files.
@@ -32,15 +35,15 @@ def check_uri(path: str) -> str:
     return path
 
 
-def _names_files(path: str) -> bool:
+def _names_files(spark: SparkSession, path: str) -> bool:
     """True for a file or a file pattern, false for a folder."""
-    last = path.rsplit("/", 1)[-1]
-    return bool(re.search(r"[*?\[{]|\.\w+$", last))
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    return bool(re.search(r"[*?\[{]", last) or CSV_NAME.search(last)) or files.is_file(spark, path)
 
 
-def _searching(reader: DataFrameReader, path: str) -> DataFrameReader:
+def _searching(reader: DataFrameReader, spark: SparkSession, path: str) -> DataFrameReader:
     reader = reader.option("recursiveFileLookup", True)
-    return reader if _names_files(path) else reader.option("pathGlobFilter", CSV_GLOB)
+    return reader if _names_files(spark, path) else reader.option("pathGlobFilter", CSV_GLOB)
 
 
 def _head_reader():
@@ -67,15 +70,16 @@ def _head_reader():
 
     def first_lines(batches):
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "header": [first_line(p) for p in batch["path"]]})
+            yield batch.assign(header=[first_line(p) for p in batch["path"]])[["path", "file_path", "header"]]
 
     return first_lines
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Path and header line of every ride file. The listing reads no content."""
-    files = _searching(spark.read.format("binaryFile"), path).load(path).select("path")
-    return files.coalesce(HEADER_TASKS).mapInPandas(_head_reader(), "path string, header string")
+    """Path, its encoded form and header line of every ride file. The listing reads no content."""
+    listed = _searching(spark.read.format("binaryFile"), spark, path).load(path)
+    found = listed.select("path", F.col("_metadata.file_path").alias("file_path"))
+    return found.coalesce(HEADER_TASKS).mapInPandas(_head_reader(), "path string, file_path string, header string")
 
 
 def header_columns(header: str) -> list[str]:
@@ -92,32 +96,59 @@ def _all_strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
-def _literal_path(path: str) -> str:
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+def _check_layouts(headers: DataFrame, layouts: dict[str, list[str]]) -> None:
+    """Every layout must hold the required columns; the error names a file of each that does not."""
+    bad = {header: missing for header, names in layouts.items() if (missing := missing_columns(names))}
+    if bad:
+        # One row per layout.
+        named = headers.filter(F.col("header").isin(list(bad))).groupBy("header").agg(F.min("path").alias("path"))
+        found = "; ".join(f"{row.path}: {bad[row.header]}" for row in named.take(len(bad)))
+        raise ValueError(f"Files without required ride columns: {found}")
 
 
 def _read_by_layout(spark: SparkSession, path: str) -> DataFrame:
-    headers = file_headers(spark, path).filter(F.col("header").isNotNull()).persist()
-    try:
-        layouts = [row.header for row in headers.select("header").distinct().take(2)]
-        if not layouts:
-            raise ValueError(f"No CSV files found at {path}")
-        if len(layouts) == 1:
-            schema = _all_strings(aligned_names(header_columns(layouts[0])))
-            reader = spark.read.schema(schema).option("header", True)
-            return _searching(reader, path).csv(path)
-        # Mixed layouts: the reader needs the paths of each. The driver holds
-        # this list in its file index anyway; no rows pass through it.
-        paths = defaultdict(list)
-        for row in headers.collect():
-            paths[tuple(aligned_names(header_columns(row.header)))].append(_literal_path(row.path))
-    finally:
-        headers.unpersist()
-    reads = [
-        spark.read.schema(_all_strings(names)).option("header", True).csv(files)
-        for names, files in sorted(paths.items())
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reads)
+    headers = file_headers(spark, path).filter(F.col("header").isNotNull())
+    rows = headers.groupBy("header").agg(F.count("*")).take(MOST_LAYOUTS + 1)
+    if not rows:
+        raise ValueError(f"No CSV files found at {path}")
+    if len(rows) > MOST_LAYOUTS:
+        raise ValueError(f"More than {MOST_LAYOUTS} different header lines at {path}")
+    layouts = {row.header: aligned_names(header_columns(row.header)) for row in rows}
+    _check_layouts(headers, layouts)
+    first, *others = layouts.values()
+    if all(names == first for names in others):
+        reader = spark.read.schema(_all_strings(first)).option("header", True)
+        return _searching(reader, spark, path).csv(path)
+    return _read_mixed(spark, path, headers, layouts)
+
+
+def _read_mixed(spark: SparkSession, path: str, headers: DataFrame, layouts: dict[str, list[str]]) -> DataFrame:
+    """All files in one read by position; each row's file says what its positions mean.
+
+    The reader drops the first line of every file, wherever it is split. Paths
+    stay in the cluster: they meet their rows in a join, whose form follows the
+    size of the list.
+    """
+    width = max(map(len, layouts.values()))
+    places = [f"_place{i}" for i in range(width)]
+    reader = spark.read.schema(_all_strings(places)).option("header", True)
+    values = _searching(reader, spark, path).csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    numbers = {header: i for i, header in enumerate(sorted(layouts))}
+    number = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col("header")]
+    files_of = headers.select(F.col("file_path").alias("_file"), number.alias("_layout"))
+    joined = values.join(files_of, "_file")
+    names = list(dict.fromkeys(name for names in layouts.values() for name in names))
+
+    def under(name: str):
+        """The column of that name, from the place each layout has it at."""
+        at: dict[str, list[int]] = {}
+        for header, own in layouts.items():
+            if name in own:
+                at.setdefault(places[own.index(name)], []).append(numbers[header])
+        cases = [F.when(F.col("_layout").isin(of), F.col(place)) for place, of in at.items()]
+        return F.coalesce(*cases).alias(name)
+
+    return joined.select(*[under(name) for name in names])
 
 
 def read_rides(spark: SparkSession, path: str, mixed_headers: bool = True) -> DataFrame:
@@ -132,7 +163,7 @@ def read_rides(spark: SparkSession, path: str, mixed_headers: bool = True) -> Da
         rides = _read_by_layout(spark, path)
     else:
         reader = spark.read.option("header", True).option("enforceSchema", False)
-        rides = align_columns(_searching(reader, path).csv(path))
+        rides = align_columns(_searching(reader, spark, path).csv(path))
     require_columns(rides)
     return rides.withColumns(
         {c: F.col(c).try_cast("double") for c in RIDE_COORDINATES if c in rides.columns}

@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridemetrics.schema import STATUS, STATUS_PARTITION
+from ridemetrics.schema import COMPACTED, STATUS, STATUS_LOAD, STATUS_PARTITION
 
 # A file stream skips files much older than the newest one seen. This is long
 # enough that none is ever skipped, whatever its time.
 ANY_AGE = "36500d"
 
+_SCHEMA = f"{STATUS}, {STATUS_PARTITION} date, {STATUS_LOAD} string"
+
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """Status rows; files from before a column existed give NULL for it.
+    """Status rows of all loads; files from before a column existed give NULL for it.
 
-    The partition column stays, so that reads since a moment skip older days.
+    The day stays as a column, so that reads since a moment skip older days.
     """
-    return spark.read.schema(f"{STATUS}, {STATUS_PARTITION} date").parquet(path)
+    return spark.read.schema(_SCHEMA).parquet(path).drop(STATUS_LOAD)
 
 
 def follow_status(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The status table as a stream of appended rows."""
-    reader = spark.readStream.schema(f"{STATUS}, {STATUS_PARTITION} date").option("maxFileAge", ANY_AGE)
+    """The status table as a stream of appended rows, streamed or batch-written.
+
+    Compacted files hold rows that came before and are passed over, so compact a
+    day when its followers have read it. A micro-batch that failed after its
+    write and ran again comes twice to a follower that read in between; `id`
+    tells such rows.
+    """
+    reader = spark.readStream.schema(_SCHEMA).option("maxFileAge", ANY_AGE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).drop(STATUS_PARTITION)
+    return reader.parquet(path).filter(~F.col(STATUS_LOAD).startswith(COMPACTED)).drop(STATUS_PARTITION, STATUS_LOAD)
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:

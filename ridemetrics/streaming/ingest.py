@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ridemetrics.functions.expressions import utc_day
 from ridemetrics.schema import STATUS_PARTITION, TARGET_STATIONS
+from ridemetrics.sinks.tables import write_load
+from ridemetrics.sources import files
 from ridemetrics.sources.feeds import decode_status, read_polls
 from ridemetrics.sources.tables import ANY_AGE
 
@@ -34,15 +37,20 @@ def landed_polls(spark: SparkSession, landing: str, max_files: int | None = None
 
 
 def append_status(status: DataFrame, table: str, checkpoint: str, interval: str | None = POLL_INTERVAL) -> StreamingQuery:
-    """Append a status stream to the date-partitioned table, exactly once."""
-    writer = (
-        status.withColumn(STATUS_PARTITION, utc_day(F.col("grab_time")))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(STATUS_PARTITION)
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-    )
+    """Append a status stream to the date-partitioned table, exactly once.
+
+    Each micro-batch is a load named after the checkpoint and the batch, so a
+    batch that runs again replaces itself, and the table stays a plain one that
+    batch writes may append to.
+    """
+    spark = status.sparkSession
+    stream = hashlib.sha256(files.qualified(spark, checkpoint).encode()).hexdigest()[:16]
+
+    def append(rows: DataFrame, batch_id: int) -> None:
+        dated = rows.withColumn(STATUS_PARTITION, utc_day(F.col("grab_time")))
+        write_load(dated, table, f"stream-{stream}-{batch_id}")
+
+    writer = status.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
     return paced(writer, interval).start()
 
 

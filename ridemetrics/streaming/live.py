@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ridemetrics.operators.stations import latest_rows
+from ridemetrics.sources import files
 from ridemetrics.streaming.ingest import POLL_INTERVAL, paced
 
 
@@ -19,39 +19,47 @@ def latest_stream(status: DataFrame) -> DataFrame:
     return latest_rows(status)
 
 
-def _slot(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/slot={batch_id % 2}"
+#: States kept besides the newest, so that a DataFrame read before stays whole.
+KEPT = 2
 
+_FINISHED = "_FINISHED"
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+
+def _state(root: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/batch={batch_id}"
+
+
+def _finished(spark: SparkSession, root: str) -> list[int]:
+    """Batches whose state is whole, oldest first."""
+    numbers = sorted(int(n[6:]) for n in files.child_folders(spark, root) if n.startswith("batch="))
+    return [n for n in numbers if files.exists(spark, f"{_state(root, n)}/{_FINISHED}")]
 
 
 def merge_batch(root: str):
     """A foreachBatch function that merges changed stations into the table.
 
-    Two slots take turns: batch n reads the slot of batch n-1 and overwrites
-    the other. A batch that is run again reads the same input and gives the
-    same slot, and readers always have one whole slot.
+    Each batch writes a whole new state from the one before it and marks it as
+    finished last. A batch that is run again reads the same input and writes the
+    same state. Readers take finished states only; older ones go after `KEPT`
+    further batches.
     """
 
     def merge(changes: DataFrame, batch_id: int) -> None:
+        spark = changes.sparkSession
+        before = [n for n in _finished(spark, root) if n < batch_id]
         # `changes` is used once: each use would run the stateful plan again.
         rows = changes
-        previous = _stored(changes.sparkSession, _slot(root, batch_id - 1)) if batch_id else None
-        if previous is not None:
-            rows = latest_rows(previous.drop("batch_id", "is_empty").unionByName(changes))
+        if before:
+            previous = spark.read.parquet(_state(root, before[-1]))
+            rows = latest_rows(previous.drop("is_empty").unionByName(changes))
         (
             rows.withColumn("is_empty", F.coalesce(F.col("num_bikes_available") == 0, F.lit(False)))
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
             .write.mode("overwrite")
-            .parquet(_slot(root, batch_id))
+            .parquet(_state(root, batch_id))
         )
+        files.touch(spark, f"{_state(root, batch_id)}/{_FINISHED}")
+        for old in [n for n in before if n < batch_id - KEPT]:
+            files.delete(spark, _state(root, old))
 
     return merge
 
@@ -70,11 +78,13 @@ def keep_latest(
 
 
 def read_live(spark: SparkSession, root: str) -> DataFrame:
-    """The newest whole state of the live table.
+    """The newest finished state of the live table.
 
     `is_empty` is the empty-station alert: true while the newest bike count is
-    exactly zero.
+    exactly zero. The DataFrame reads this one state; it stays whole for `KEPT`
+    more batches.
     """
-    slots = spark.read.parquet(root)
-    newest = slots.agg(F.max("batch_id")).scalar()
-    return slots.filter(F.col("batch_id") == newest).drop("slot", "batch_id")
+    finished = _finished(spark, root)
+    if not finished:
+        raise ValueError(f"No finished state of the live table at {root}")
+    return spark.read.parquet(_state(root, finished[-1]))

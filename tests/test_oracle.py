@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from ridemetrics.plans import catalog
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["events", "customer", "orders", "part"]
@@ -32,7 +33,7 @@ def canonical(rows, columns):
     return sorted(([row[i] for i in order] for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     result = spark_entry.queries()[name](spark, SF_DIR)
     oracle = duck.execute(spark_entry.oracle_sql()[name])

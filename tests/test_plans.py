@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as spark_entry
-from ridemetrics.operators import reports, series, stations
+from ridemetrics.operators import maintenance, reports, series, stations
 from ridemetrics.operators.rides import derive
 from ridemetrics.plans import bridge, catalog
 from ridemetrics.schema import STATUS
@@ -12,7 +11,7 @@ from ridemetrics.sinks.tables import store_rides, store_status
 from ridemetrics.sources.tables import read_status
 
 SF_DIR = "/root/testdata/sf0.001"
-THROUGH_FILES = {"stream_status", "stream_latest_status", "stream_new_points", "csv_rides", "published_counts"}
+THROUGH_FILES = {"stream_status", "stream_latest_status", "stream_new_points", "csv_rides", "published_counts", "csv_mixed_layouts", "status_mixed_writes", "feed_status", "feed_refused", "feed_stations", "first_load", "published_reports", "published_fallback", "cursor_series"}
 
 
 @pytest.fixture
@@ -40,9 +39,9 @@ def stored_status(spark, tmp_path_factory):
     return read_status(spark, path)
 
 
-@pytest.mark.parametrize("name", sorted(set(spark_entry.queries()) - THROUGH_FILES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - THROUGH_FILES))
 def test_no_cross_join_and_no_python(spark, plan, name):
-    text = plan(spark_entry.queries()[name](spark, SF_DIR))
+    text = plan(catalog.QUERIES[name](spark, SF_DIR))
     for operator in ["CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"]:
         assert operator not in text
 
@@ -158,3 +157,35 @@ def test_hot_station_is_split_when_nothing_is_broadcast(spark, tmp_path, shuffle
     assert len(got.collect()) == want
     final = got._jdf.queryExecution().executedPlan().toString()
     assert "skew=true" in final
+
+
+def test_upsert_hashes_narrow_keys_and_reads_text_once(spark, tmp_path, plan):
+    feed = bridge.station_updates_from_orders(bridge.table(spark, SF_DIR, "orders"))
+    feed.write.parquet(str(tmp_path / "feed"))
+    feed = spark.read.parquet(str(tmp_path / "feed"))
+    text = plan(maintenance.upsert(catalog.station(spark, SF_DIR), feed, order="seq"))
+    assert "SortAggregate" not in text and "partial_max(seq" in text
+    # The feed's text is read by one scan; the others read keys alone.
+    schemas = [line for line in text.splitlines() if "ReadSchema" in line and "seq:" in line or "ReadSchema: struct<station_id:bigint>" in line]
+    assert sum("name:string" in line for line in schemas) == 1
+
+
+def test_known_cursors_skip_older_days(spark, stored_status, plan):
+    cursors = spark.createDataFrame([("1", 1704153600), ("2", 1704240000)], "station_id string, last_time long")
+    got = series.bike_series(stored_status, since=cursors, ordered=False, known_only=True)
+    text = plan(got)
+    filters = [line for line in text.splitlines() if "PartitionFilters" in line and "grab_date" in line]
+    assert filters and "subquery" in filters[0].lower()
+    want = series.bike_series(stored_status, ids=["1", "2"], since=cursors, ordered=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_each_consumer_gets_its_rows(spark, stored_status):
+    rows = [("x", "1", 1704153600), ("y", "1", 0), ("y", "2", 1704240000)]
+    cursors = spark.createDataFrame(rows, "consumer_id string, station_id string, last_time long")
+    got = series.bike_series(stored_status, ids=["1", "2"], since=cursors, ordered=False)
+    assert got.columns == ["consumer_id", "station_id", "ts_ms", "value"]
+    one = series.bike_series(stored_status, "1", since=1704153600).count()
+    everything = series.bike_series(stored_status, "1").count()
+    counts = {(r.consumer_id, r.station_id): r["count"] for r in got.groupBy("consumer_id", "station_id").count().collect()}
+    assert counts[("x", "1")] == one and counts[("y", "1")] == everything

@@ -101,3 +101,31 @@ def test_store_first_then_candidates(spark, published, tmp_path):
     assert got.available and got.output_dir == published and "ValueError" in got.message
     got = read_reports(spark, [f"{tmp_path}/none"])
     assert not got.available and got.output_dir is None and got.tables == {}
+
+
+def test_no_copy_of_the_rides_is_left(spark, published, tmp_path):
+    source = f"{published}/../in"
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(f"{shared}/ridemetrics")) if os.path.isdir(f"{shared}/ridemetrics") else set()
+    analyze(spark, source, str(tmp_path / "out"))
+    after = set(os.listdir(f"{shared}/ridemetrics")) if os.path.isdir(f"{shared}/ridemetrics") else set()
+    assert before == after
+    assert sorted(os.listdir(tmp_path / "out")) == sorted(REPORT_COLUMNS)
+
+
+def test_output_and_stage_may_not_hold_the_input(spark, published, tmp_path):
+    source = f"{published}/../in"
+    for target in (source, f"{source}/..", "/"):
+        with pytest.raises(ValueError, match="overwrite the input"):
+            analyze(spark, source, target)
+        with pytest.raises(ValueError, match="overwrite the input"):
+            analyze(spark, f"{source}/*.csv", str(tmp_path / "o"), stage=target)
+
+
+def test_a_programming_error_is_no_unreachable_store(spark, published, monkeypatch):
+    def broken(*_):
+        raise TypeError("a bug")
+
+    monkeypatch.setattr("ridemetrics.sources.reports.read_report", broken)
+    with pytest.raises(TypeError):
+        read_reports(spark, [published], store_uri=f"file:{published}")

@@ -131,3 +131,38 @@ def test_typed_times_keep_their_type(spark):
     rides = derive(spark.createDataFrame(rows, "ride_id string, started_at timestamp_ntz, ended_at timestamp_ntz"))
     assert dict(rides.dtypes)["started_ts"] == "timestamp_ntz"
     assert rides.first().ride_duration_minutes == 2.0
+
+
+def test_dotted_folders_hold_rides_only(spark, tmp_path):
+    write(tmp_path / "v1.2" / "a.csv", HEADER, "r1" + "," * 12)
+    write(tmp_path / "v1.2" / "notes.txt", "not a ride", "nor this")
+    assert ids(read_rides(spark, f"{tmp_path}/v1.2")) == ["r1"]
+    write(tmp_path / "rides.txt", HEADER, "r2" + "," * 12)
+    assert ids(read_rides(spark, f"{tmp_path}/rides.txt")) == ["r2"]
+
+
+def test_foreign_layout_is_refused_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", HEADER, "r1" + "," * 12)
+    write(tmp_path / "stations.csv", "station_id,name", "1,A", "2,B")
+    with pytest.raises(ValueError, match="stations.csv.*ride_id"):
+        read_rides(spark, str(tmp_path))
+
+
+def test_compressed_files_of_a_folder(spark, tmp_path):
+    write(tmp_path / "a.csv", HEADER, "r1" + "," * 12)
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as out:
+        out.write("ended_at,started_at,ride_id\nx,y,r2\n")
+    assert ids(read_rides(spark, str(tmp_path))) == ["r1", "r2"]
+
+
+def test_mixed_layouts_keep_rows_that_look_like_headers(spark, tmp_path):
+    write(tmp_path / "a.csv", "ride_id,started_at,ended_at", "ride_id,started_at,ended_at", 'r1,"x, y",z')
+    write(tmp_path / "sub" / "b.csv", "", "Ended At,ride id,start_time,member_casual", "e,r2,s,casual,extra", "e2,r3")
+    (tmp_path / "empty.csv").write_text("")
+    got = {r.ride_id: (r.started_at, r.ended_at, r.member_casual) for r in read_rides(spark, str(tmp_path)).collect()}
+    assert got == {
+        "ride_id": ("started_at", "ended_at", None),
+        "r1": ("x, y", "z", None),
+        "r2": ("s", "e", "casual"),
+        "r3": (None, "e2", None),
+    }

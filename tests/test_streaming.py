@@ -1,8 +1,9 @@
-import shutil
-
 import pytest
+from pyspark.sql import functions as F
 
 from ridemetrics.operators.stations import empty_stations, latest_rows
+from ridemetrics.functions.expressions import utc_day
+from ridemetrics.sinks.tables import compact_status, store_status, write_load
 from ridemetrics.sources.feeds import decode_status, read_polls
 from ridemetrics.sources.tables import follow_status, read_status
 from ridemetrics.streaming.follow import deliver, new_points
@@ -114,8 +115,10 @@ def test_a_batch_run_again_gives_the_same_table(spark, folders):
         assert rows(read_live(spark, f["live"])) == once
     alerts = {r.station_id: (r.num_bikes_available, r.is_empty) for r in read_live(spark, f["live"]).collect()}
     assert alerts == {"a": (4, False), "b": (0, True), "c": (None, False)}
-    # A batch lost while writing leaves the other slot whole.
-    shutil.rmtree(f"{f['live']}/slot=0")
+    # A batch cut off while writing is not read; the state before it is whole.
+    (f["root"] / "live" / "batch=2" / "_FINISHED").unlink()
+    part = next((f["root"] / "live" / "batch=2").glob("part-*"))
+    part.unlink()
     assert {r.station_id for r in read_live(spark, f["live"]).collect()} == {"a", "b"}
     merge(spark.createDataFrame(batches[2], schema), 2)
     assert rows(read_live(spark, f["live"])) == once
@@ -149,3 +152,64 @@ def test_timed_trigger_runs_until_stopped(spark, folders):
     finally:
         query.stop()
     assert read_status(spark, f["table"]).count() == 2
+
+
+def test_a_held_live_table_survives_the_next_batches(spark, folders):
+    merge = merge_batch(folders["live"])
+    schema = "id long, station_id string, num_bikes_available int"
+    merge(spark.createDataFrame([(1, "a", 3)], schema), 0)
+    held = read_live(spark, folders["live"])
+    merge(spark.createDataFrame([(2, "a", 5)], schema), 1)
+    merge(spark.createDataFrame([(3, "b", 0)], schema), 2)
+    assert [r.num_bikes_available for r in held.collect()] == [3]
+    for n in range(3, 8):
+        merge(spark.createDataFrame([(n + 1, "b", n)], schema), n)
+    assert len([p for p in (folders["root"] / "live").iterdir() if p.name.startswith("batch=")]) == 3
+    with pytest.raises(ValueError, match="finished"):
+        read_live(spark, folders["out"])
+
+
+@pytest.mark.parametrize("stream_first", [True, False])
+def test_streams_and_batches_share_a_table(spark, folders, stream_first):
+    f = folders
+    land_polls(f, 0, 2)
+    more = decode_status(read_polls(spark.read, f["landing"]), ["a"]).limit(100)
+    stored = more.withColumn("id", F.col("id") + 1)
+    if not stream_first:
+        store_status(stored, f["table"])
+    ingest(spark, f, targets=["a", "b"])
+    if stream_first:
+        store_status(stored, f["table"])
+    assert read_status(spark, f["table"]).count() == 4 + 2
+    # Nothing new: a restart adds no row; new polls add theirs.
+    ingest(spark, f, targets=["a", "b"])
+    land_polls(f, 2, 1)
+    ingest(spark, f, targets=["a", "b"])
+    assert read_status(spark, f["table"]).count() == 8
+    before = rows(read_status(spark, f["table"]))
+    deliver(new_points(spark, f["table"]), f["out"], f["ck3"]).awaitTermination()
+    compact_status(spark, f["table"], "2023-11-14")
+    compact_status(spark, f["table"], "2023-11-14")
+    compact_status(spark, f["table"], "1999-01-01")
+    assert rows(read_status(spark, f["table"])) == before
+    day = f["root"] / "table" / "grab_date=2023-11-14"
+    assert [p.name[:13] for p in day.iterdir()] == ["load=compact-"]
+    store_status(stored.withColumn("id", F.col("id") + 1), f["table"])
+    deliver(new_points(spark, f["table"]), f["out"], f["ck3"]).awaitTermination()
+    assert spark.read.parquet(f["out"]).count() == 8 + 2
+
+
+def test_a_status_batch_run_again_replaces_itself(spark, folders):
+    f = folders
+    land_polls(f, 0, 2)
+    dated = decode_status(read_polls(spark.read, f["landing"]), ["a", "b"]).withColumn("grab_date", utc_day(F.col("grab_time")))
+    for _ in range(2):
+        write_load(dated, f["table"], "stream-x-0")
+    write_load(dated, f["table"], "stream-x-1")
+    assert read_status(spark, f["table"]).count() == 8
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store_status(dated.drop("grab_date"), f["table"], mode="overwrite")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert read_status(spark, f["table"]).count() == 4
