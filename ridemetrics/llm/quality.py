@@ -213,7 +213,8 @@ def fit(
     sample = keyed(docs, id_col, text_col).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
     found = (
         sample.select("place", "doc_id", "label", "text")
-        .coalesce(1)
+        # The scan stays spread; only the sample meets in one task.
+        .repartition(1)
         .mapInArrow(_trainer(most_bytes, updates), "name string, body binary")
         .collect()
     )
