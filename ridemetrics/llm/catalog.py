@@ -84,4 +84,80 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
         FROM texts JOIN groups USING (text)
     """,
+    "op1_suffix_dedup": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (
+            SELECT doc_id, unnest(range(greatest(len(h) // 2 - 99, 0))) AS i, h FROM docs
+        ),
+        windows AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS w FROM starts),
+        again AS (
+            SELECT doc_id, i FROM (
+                SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows
+            ) WHERE nth > 1
+        ),
+        runs AS (
+            SELECT doc_id, i, i + 100 AS stop,
+                   max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+            FROM again
+        ),
+        numbered AS (
+            SELECT *, sum(CASE WHEN before IS NULL OR i > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+            FROM runs
+        ),
+        spans AS (SELECT doc_id, run, min(i) AS a, max(stop) AS b FROM numbered GROUP BY doc_id, run),
+        gaps AS (
+            SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+            UNION ALL
+            SELECT d.doc_id, coalesce(max(s.b), 0), len(any_value(h)) // 2
+            FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+        ),
+        kept AS (
+            SELECT g.doc_id, string_agg(substr(d.h, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS h
+            FROM gaps g JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+        )
+        SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(s.n, 0)::bigint AS n_removed, coalesce(s.spans, 0) AS n_spans,
+               sha256(unhex(k.h)) AS kept_sha256
+        FROM docs d JOIN kept k ON k.doc_id = d.doc_id
+        LEFT JOIN (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY doc_id) s ON s.doc_id = d.doc_id
+    """,
+    "op5_substring_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 35], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 34, 0))) AS i FROM docs)
+        ),
+        again AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1
+        ),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM again, (SELECT unnest(range(35)) AS j)),
+        words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM docs),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+    """,
+    "op2_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, embedding::double[] AS e, sqrt(list_inner_product(embedding::double[], embedding::double[])) AS norm
+            FROM embeddings WHERE embedding IS NOT NULL
+        ),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a, vectors b
+            WHERE a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+              AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+        ),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+        ),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN least USING (vec_id)
+        LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) c USING (vec_id)
+    """,
 }
