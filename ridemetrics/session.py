@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from ridemetrics.sources import files
+
+_scratch: list[tuple[SparkSession, str]] = []
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the library expects; sizing is left to the cluster."""
@@ -29,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path for one run under the shared folder.
+    """A fresh path for one run under the shared folder; deleted when Python ends.
 
     A session that names no shared folder gets a machine-local one, which is
     only right for local mode.
@@ -40,4 +45,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if not master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="ridemetrics-")
-    return f"{base.rstrip('/')}/ridemetrics/{purpose}-{uuid.uuid4().hex}"
+        _scratch.append((spark, base))
+    path = f"{base.rstrip('/')}/ridemetrics/{purpose}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in reversed(_scratch):
+        try:
+            files.delete(spark, path)
+        except Exception:  # the session is gone, and with it the way to reach the store
+            pass
+
+
+atexit.register(_clean)
