@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,6 @@ NULL_ID = -(2**63)
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 8 << 20
 
-_scratch: list[tuple[SparkSession, str]] = []
-
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, row_hash, text, without NULLs.
@@ -59,28 +56,14 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the cluster's shared folder and read back.
 
     Cuts the plan where two later steps read one result. The folder goes when
-    the driver's Python ends.
+    the driver's Python ends (see scratch_dir).
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
-    _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone, and with it the way to reach the store
-            pass
-
-
-atexit.register(_clean)
-
-
 def utf8_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
