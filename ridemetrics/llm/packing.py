@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ridemetrics.llm.common import NULL_ID, keyed, public_id
+from ridemetrics.llm.common import keyed, public_id
 
 WINDOW = 4096
 END_ID = 2

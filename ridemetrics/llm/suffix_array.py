@@ -9,7 +9,8 @@ order for the suffixes that fall, then in falling order for those that rise.
 
 Pushes to a symbol arrive in their final order, so the priority queue is one
 first-in-first-out lane per symbol. Lanes spill to a file of the task when they
-hold more than `memory` entries, and the text may lie in a memory-mapped file.
+hold more than `memory` entries. The text, a few bytes for each of its places and
+the sorted entries are held in memory; shards are made small enough for that.
 
 Symbol 0 ends a string. Ends are smaller than all else and differ from each
 other (earlier is smaller), so no common prefix runs over them.
@@ -203,16 +204,6 @@ class _Induction:
         return np.concatenate(out[::-1])
 
 
-def words_at(text: np.ndarray) -> np.ndarray:
-    """Eight symbols from every place as one big-endian number; text of bytes + end marks."""
-    padded = np.r_[text.astype(np.uint64), np.zeros(8, np.uint64)]
-    out = np.zeros(len(text), np.uint64)
-    for k in range(7):
-        # Symbols go up to 256: nine bits each, seven to a word.
-        out = (out << np.uint64(9)) | padded[k : k + len(text)]
-    return out
-
-
 def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and at b, `most` at most."""
     padded = np.r_[text, np.zeros(most + 1, text.dtype)]

@@ -15,7 +15,6 @@ shuffled once by document and that exchange is used twice.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

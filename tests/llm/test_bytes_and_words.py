@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from ridemetrics.llm.common import joined_utf8, utf8_slices
 from ridemetrics.llm.line_dedup import deduped_documents, line_chunks, line_dedup
 from ridemetrics.llm.substring_dedup import substring_dedup
 from ridemetrics.llm.suffix_array import sorted_suffixes
@@ -160,3 +162,18 @@ def test_deduped_documents_keep_columns(spark):
     assert got.columns == docs.columns
     want = line_brute(rows)
     assert {r.doc_id: r.text or "" for r in got.collect()} == {d: w[2] for d, w in want.items()}
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_slices_hold_all_rows_and_their_bytes(kind):
+    texts = ["ab", "", "é" * 20, "c", "", "dd" * 9, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, kind)], ["id", "text"])
+    for limit in (1, 10, 25, 1000):
+        seen = []
+        for part in utf8_slices(iter([batch.slice(0, 0), batch]), limit=limit):
+            data, offsets = joined_utf8(part.column("text"))
+            cut = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
+            assert cut == part.column("text").to_pylist()
+            assert sum(len(t.encode()) for t in cut) <= limit or len(cut) == 1
+            seen += cut
+        assert seen == texts
