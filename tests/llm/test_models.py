@@ -124,7 +124,7 @@ def test_lm_is_a_probability():
     assert abs(sum(2.0 ** -int(n) for n in lengths) - 1) < 1e-12
     paths = {tuple(zip(nodes[s : s + n].tolist(), bits[s : s + n].tolist())) for s, n in zip(starts, lengths)}
     assert len(paths) == 256
-    tables = [np.zeros(1 << w, np.uint16) for w in lm_scoring.TABLE_BITS]
+    tables = [np.zeros(1 << w, np.uint8) for w in lm_scoring.TABLE_BITS]
     tree = lm_scoring.code_tree()
     # With nothing learnt a text of one byte and the end costs its code's length.
     cost = lm_scoring.bits_of([b"e", b""], tables, tree)
