@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridemetrics.llm.embedding_dedup import embedding_dedup
 from ridemetrics.llm.exact_dedup import exact_dedup
-from ridemetrics.llm.line_dedup import line_dedup
+from ridemetrics.llm.line_dedup import CHUNKINGS, UNION_EVERY, line_dedup
 from ridemetrics.llm.lm_scoring import lm_scores
 from ridemetrics.llm.mixing import mix_sources
 from ridemetrics.llm.packing import pack_documents
@@ -42,7 +42,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+    docs = _table(spark, sf_dir, "documents")
+    return line_dedup(docs, every=UNION_EVERY, chunkings=CHUNKINGS).drop("kept_text")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from ridemetrics.llm.common import joined_utf8, utf8_slices
-from ridemetrics.llm.line_dedup import deduped_documents, line_chunks, line_dedup
+from ridemetrics.llm.line_dedup import CHUNKINGS, UNION_EVERY, cover, deduped_documents, line_chunks, line_dedup
 from ridemetrics.llm.substring_dedup import substring_dedup
 from ridemetrics.llm.suffix_array import sorted_suffixes
 from ridemetrics.llm.suffix_dedup import suffix_dedup
@@ -164,6 +164,38 @@ def test_deduped_documents_keep_columns(spark):
     assert {r.doc_id: r.text or "" for r in got.collect()} == {d: w[2] for d, w in want.items()}
 
 
+def test_union_of_chunkings_finds_repeated_runs(spark):
+    r = random.Random(17)
+    rows, planted = [], []
+    for i in range(60):
+        passage = [f"passage {i} {j}" for j in range(r.randint(2, 6))]
+        for turn in range(2):
+            own = [f"own {i} {turn} {j}" for j in range(r.randint(2, 8))]
+            at = r.randint(0, len(own))
+            rows.append((2 * i + turn, "\n".join(own[:at] + passage + own[at:]), "x"))
+            planted.append((2 * i + turn, own, passage))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {x.doc_id: x for x in line_dedup(docs, every=UNION_EVERY, chunkings=CHUNKINGS).collect()}
+    found = wanted = 0
+    for doc_id, own, passage in planted:
+        kept = got[doc_id].kept_text.split("\n")
+        assert [x for x in kept if x.startswith("own")] == own
+        gone = sum(x not in kept for x in passage)
+        assert gone == (got[doc_id].n_removed if doc_id % 2 else 0)
+        found += gone
+        wanted += len(passage) * (doc_id % 2)
+    assert found >= 0.95 * wanted
+    assert sum(x.n_removed for x in line_dedup(docs).collect()) < 0.5 * wanted
+
+
+def test_a_cover_holds_the_lines_of_all():
+    r = random.Random(2)
+    for _ in range(300):
+        spans = [{"first_line": r.randint(0, 30), "n_lines": r.randint(2, 6)} for _ in range(r.randint(1, 12))]
+        lines = [{i for s in part for i in range(s["first_line"], s["first_line"] + s["n_lines"])} for part in (spans, cover(spans))]
+        assert lines[0] == lines[1]
+
+
 @pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
 def test_slices_hold_all_rows_and_their_bytes(kind):
     texts = ["ab", "", "é" * 20, "c", "", "dd" * 9, "e"]
