@@ -18,8 +18,8 @@ NULL_ID = -(2**63)
 SLICE_BYTES = 8 << 20
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, row_hash, text, without NULLs.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """Columns doc_id, row_hash, text, without NULLs; `others` as they are.
 
     A row's key is its id and a hash of its text, so rows that share an id but
     not a text stay apart, and whole repetitions of a row share a key.
@@ -29,6 +29,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.xxhash64(text).alias("row_hash"),
         text.alias("text"),
+        *others,
     )
 
 
@@ -64,6 +65,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """`docs` written out with a number of its own for each row, and that column's name.
+
+    Rows of one task get numbers that follow each other.
+    """
+    (row,) = spare_names(docs, "row_number")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), purpose), row
+
+
 def utf8_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

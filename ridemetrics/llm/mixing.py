@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridemetrics.llm.common import NULL_ID, materialise, public_id, spare_names
+from ridemetrics.llm.common import NULL_ID, materialise, numbered_rows, public_id, spare_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -200,6 +200,52 @@ def _settled(shares: DataFrame, fan_in: int, seed: int) -> list[DataFrame]:
     return chosen
 
 
+def _settled_rows(
+    items: DataFrame, weights: Sequence[float], most_copies: int, fan_in: int, seed: int
+) -> DataFrame:
+    """One row per (source, doc_id, size) of items: n rows, of which extra + won get whole + 1 copies."""
+    targets = source_targets(items, weights, most_copies)
+    rows = items.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
+    joined = _by_source(rows, targets)
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor("due")
+    spare = F.col("n") * (F.col("due") - whole)
+    shares = materialise(
+        joined.withColumn("due", due)
+        .withColumn("whole", whole)
+        .withColumn("extra", F.floor(spare))
+        .withColumn("p", spare - F.floor(spare)),
+        "mix-shares",
+    )
+
+    chosen = _settled(shares, fan_in, seed)
+    if not chosen:
+        return shares.withColumn("won", F.lit(0))
+    won = reduce(DataFrame.unionAll, [c.select("source", "doc_id", "size") for c in chosen])
+    won = won.toDF("_source", "_doc_id", "_size").withColumn("won", F.lit(1))
+    same = F.expr("source <=> _source AND doc_id = _doc_id AND size = _size")
+    return (
+        shares.join(won, same, "left")
+        .withColumn("won", F.coalesce("won", F.lit(0)))
+        .drop("_source", "_doc_id", "_size")
+    )
+
+
+def _items(docs: DataFrame, id_col: str, text_col: str, source_col: str, *others: str) -> DataFrame:
+    return docs.select(
+        F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+        docs[source_col].cast("string").alias("source"),
+        word_count(docs[text_col].cast("string")).alias("size"),
+        *others,
+    )
+
+
+def _copies() -> Column:
+    """Copies of the nth of equal rows."""
+    one_more = (F.col("nth") <= F.col("extra") + F.col("won")).cast("long")
+    return F.when(F.col("size") > 0, F.col("whole") + one_more).otherwise(0)
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -218,46 +264,16 @@ def mix_sources(
     is copies * size. Documents that share id, size and source count as one
     document with so many copies to spread. An empty table gives no rows.
     """
-    items = materialise(
-        docs.select(
-            F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-            docs[source_col].cast("string").alias("source"),
-            word_count(docs[text_col].cast("string")).alias("size"),
-        ),
-        "mix-items",
-    )
-    spark = items.sparkSession
-    targets = source_targets(items, weights, most_copies)
-    rows = items.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
-    joined = _by_source(rows, targets)
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor("due")
-    spare = F.col("n") * (F.col("due") - whole)
-    shares = materialise(
-        joined.withColumn("due", due)
-        .withColumn("whole", whole)
-        .withColumn("extra", F.floor(spare))
-        .withColumn("p", spare - F.floor(spare)),
-        "mix-shares",
-    )
-
-    chosen = _settled(shares, fan_in, seed)
-    if chosen:
-        won = reduce(DataFrame.unionAll, [c.select("source", "doc_id", "size") for c in chosen])
-        won = won.toDF("_source", "_doc_id", "_size").withColumn("won", F.lit(1))
-        same = F.expr("source <=> _source AND doc_id = _doc_id AND size = _size")
-        settled = shares.join(won, same, "left").withColumn("won", F.coalesce("won", F.lit(0)))
-    else:
-        settled = shares.withColumn("won", F.lit(0))
+    items = materialise(_items(docs, id_col, text_col, source_col), "mix-items")
+    settled = _settled_rows(items, weights, most_copies, fan_in, seed)
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEAT_BLOCK)))
     in_block = F.sequence(
         F.col("block") * REPEAT_BLOCK + 1, F.least("n", (F.col("block") + 1) * REPEAT_BLOCK)
     )
-    one_more = (F.col("nth") <= F.col("extra") + F.col("won")).cast("long")
     return (
         settled.withColumn("block", block)
         .withColumn("nth", F.explode(in_block))
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + one_more).otherwise(0))
+        .withColumn("copies", _copies())
         .select(
             public_id(),
             "size",
@@ -270,20 +286,47 @@ def mix_sources(
 
 
 def mixed_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    most_copies: int = MOST_COPIES,
+    fan_in: int = FAN_IN,
+    seed: int = 42,
 ) -> DataFrame:
     """`docs` with each row as often as the mix takes it; the columns stay as they are.
 
-    Rows that share an id share its copies: all get the most that one of them has.
+    Rows that share id, size and source are numbered, and each gets its own copies.
     """
-    mix = mix_sources(docs, id_col, text_col, source_col, **options)
-    mix_id, mix_size, mix_copies, nth = spare_names(docs, "mix_id", "mix_size", "mix_copies", "mix_nth")
+    marked, row = numbered_rows(docs, "mix-rows")
+    items = materialise(_items(marked, id_col, text_col, source_col, F.col(row).alias("row")), "mix-items")
+    settled = _settled_rows(items.drop("row"), weights, most_copies, fan_in, seed)
+    # Equal rows are numbered block by block, so that many of them are no one task's.
+    key = ["source", "doc_id", "size"]
+    blocks = items.withColumn("block", F.floor(F.col("row") / F.lit(REPEAT_BLOCK)))
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        blocks.groupBy(*key, "block")
+        .agg(F.count("*").alias("in_block"))
+        .withColumn("start", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
+    )
+    shares = settled.select(*(F.col(c).alias(f"_{c}") for c in key), "whole", "extra", "won")
+    same = F.expr("source <=> _source AND doc_id = _doc_id AND size = _size")
+    due = starts.join(shares, same).select(
+        *(f"_{c}" for c in key), F.col("block").alias("_block"), "start", "whole", "extra", "won"
+    )
+    within = F.row_number().over(Window.partitionBy(*key, "block").orderBy("row"))
     copies = (
-        mix.groupBy(F.col("doc_id").alias(mix_id), F.col("size").alias(mix_size))
-        .agg(F.max("copies").cast("int").alias(mix_copies))
-        .filter(F.col(mix_copies) > 0)
+        blocks.withColumn("within", within)
+        .join(due, same & (F.col("block") == F.col("_block")))
+        .withColumn("nth", F.col("start") + F.col("within"))
+        .withColumn("copies", _copies().cast("int"))
+        .filter("copies > 0")
+    )
+    mix_row, mix_copies, nth = spare_names(marked, "mix_row", "mix_copies", "mix_nth")
+    copies = copies.select(F.col("row").alias(mix_row), F.col("copies").alias(mix_copies))
+    repeated = marked.join(copies, F.col(row) == F.col(mix_row)).withColumn(
+        nth, F.explode(F.sequence(F.lit(1), F.col(mix_copies)))
     )
-    size = word_count(docs[text_col].cast("string"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col(mix_id)) & (size == F.col(mix_size))
-    repeated = docs.join(copies, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(mix_copies))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    return repeated.select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridemetrics.llm.common import keyed, materialise, public_id, spare_names
+from ridemetrics.llm.common import keyed, materialise, numbered_rows, public_id
 from ridemetrics.llm.components import Forest, connected_components
 
 SHINGLE_WORDS = 3
@@ -65,8 +65,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found = np.fromiter(
             (fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows
         )
+        others = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+            [*map(batch.column, others), pa.array(found.view(np.int64))], [*others, "fp"]
         )
 
 
@@ -261,6 +262,15 @@ def near_fingerprints(
     )
 
 
+def _grouped(prints: DataFrame, rank: str, most_bits: int) -> DataFrame:
+    """fp, component, and the least `rank` of each distinct fp of `prints`."""
+    classes = materialise(prints.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-classes")
+    nodes = connected_components(near_fingerprints(classes.select("fp"), most_bits))
+    return classes.join(nodes, classes["fp"] == nodes["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS
 ) -> DataFrame:
@@ -274,11 +284,7 @@ def simhash_components(
     """
     rows = keyed(docs, id_col, text_col).select("doc_id", "text")
     prints = materialise(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    nodes = connected_components(near_fingerprints(classes.select("fp"), most_bits))
-    grouped = classes.join(nodes, classes["fp"] == nodes["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    grouped = _grouped(prints, "doc_id", most_bits)
     firsts = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(firsts, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -286,12 +292,21 @@ def simhash_components(
     )
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component; columns as they are.
+def first_of_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS
+) -> DataFrame:
+    """One row of `docs` for each component, that with the smallest id; columns as they are.
 
-    Rows that share an id stay or go together.
+    Of rows that share the id, and of rows without one, the hash of the text decides,
+    of equal rows one stays.
     """
-    groups = simhash_components(docs, id_col, text_col, **options)
-    (first_id,) = spare_names(docs, "first_id")
-    firsts = groups.select(F.col("component_id").alias(first_id)).distinct()
-    return docs.join(firsts, docs[id_col].cast("long").eqNullSafe(F.col(first_id)), "left_semi")
+    marked, row = numbered_rows(docs, "near-rows")
+    rows = keyed(marked, id_col, text_col, row).select("doc_id", "row_hash", F.col(row).alias("row"), "text")
+    schema = "doc_id long, row_hash long, row long, fp long"
+    prints = materialise(
+        rows.mapInArrow(_fingerprints, schema).select("fp", F.struct("doc_id", "row_hash", "row").alias("rank")),
+        "simhash",
+    )
+    grouped = _grouped(prints, "rank", most_bits)
+    firsts = grouped.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    return marked.join(firsts, row, "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ridemetrics.llm.mixing import mix_sources, mixed_documents
+from ridemetrics.llm.mixing import mix_sources, mixed_documents, source_targets
 from ridemetrics.llm.packing import END_ID, WINDOW, WordTokenizer, difference, pack_documents, pack_group
 
 SCHEMA = "doc_id long, text string, source string, won string"
@@ -110,6 +110,18 @@ def test_mixed_documents_repeat_rows(spark):
     assert found == {i: c for i, c in copies.items() if c}
 
 
+def test_rows_without_ids_and_repeated_rows_get_their_own_copies(spark):
+    rows = [(None, f"w{i} w w w w", "ab"[i % 2], "x") for i in range(80)]
+    rows += [(7, "v " * 5, "a", "x")] * 40 + [(7, "u " * 5, "b", "x")] * 3 + [(100 + i, "w " * 5, "c", "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mixed_documents(docs)
+    assert got.count() == sum(r.copies for r in mix_sources(docs).collect())
+    size = {r.source: (r.target, r.source_size) for r in source_targets(docs.selectExpr("source", "5L AS size")).collect()}
+    for r in got.groupBy("source").count().collect():
+        assert abs(5 * r["count"] - size[r.source][0]) <= 5
+    assert mixed_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 ODD = [
     "", " ", "a b", "á ́b x<|endoftext|>y  <|endoftext|> z", "it's 's don 't 'S O'RE\x0bq\x0c w",
     "İstanbul ǅ ﬁ", "e ́", "​ a\u0085b", "ÄÖß×÷É¿ a×b 12ab3 $$$*** 'sthe 'll'll a'sb",

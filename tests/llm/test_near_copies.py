@@ -113,6 +113,15 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash_components(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_repeated_rows_and_of_copies_without_ids_stays(spark):
+    rows = [(None, "a b c d")] * 3 + [(4, "a b c d")] + [(5, "quite another text here")] * 4
+    rows += [(None, "three more words"), (6, "Three  more words"), (7, "on its own"), (7, "and this one too")]
+    got = first_of_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [
+        (0, "a b c d"), (0, "three more words"), (5, "quite another text here"), (7, "and this one too"), (7, "on its own"),
+    ]
+
+
 def vector_rows():
     r = np.random.default_rng(3)
     rows = []
