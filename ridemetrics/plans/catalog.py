@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ridemetrics.operators import maintenance, reports, series, stations
 from ridemetrics.operators.rides import valid_rides
-from ridemetrics.plans import bridge, stored
+from ridemetrics.plans import bridge, stored, streamed
 from ridemetrics.plans.bridge import table
 
 # Start of the incremental reads: 2024-01-15 00:00:00 UTC.
@@ -141,6 +141,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "published_fallback": stored.published_fallback,
     "reports_minimal": stored.reports_minimal,
     "cursor_series": stored.cursor_series,
+    "published_corrupt": stored.published_corrupt,
+    "published_whole": stored.published_whole,
+    "station_alerts": streamed.station_alerts,
+    "stream_station_alerts": streamed.stream_station_alerts,
+    "stream_points_once": streamed.stream_points_once,
+    "latest_incremental": streamed.latest_incremental,
+    "live_state": streamed.live_state,
+    "ingest_restarted": streamed.ingest_restarted,
+    "feed_stamps": streamed.feed_stamps,
 }
 
 _RIDES = """
@@ -255,17 +264,43 @@ def _unless_few(column: str, value: str | None = None) -> str:
     return f"CASE WHEN ride_id % 3 <> 2 THEN {value or column} END AS {column}"
 
 
-def _cells_sql(report: str, name: str, count: str, key: str | None = None, top: bool = False) -> str:
-    """The cells of a counting report."""
+def _cells_sql(
+    report: str, name: str, count: str, key: str | None = None, top: bool = False, named: bool = False
+) -> str:
+    """The cells of a counting report; `named` for the first of a union."""
     key = key or name
     where = f"WHERE {key} <> ''" if top else ""
     best = "ORDER BY n DESC, key LIMIT 10" if top else ""
+    report_as, field_as, value_as = (" AS report", " AS field", " AS value") if named else ("", "", "")
     return (
-        f"SELECT '{report}', unnest(['{name}', '{count}']), unnest([cast(key AS varchar), cast(n AS varchar)]) "
+        f"SELECT '{report}'{report_as}, unnest(['{name}', '{count}']){field_as}, "
+        f"unnest([cast(key AS varchar), cast(n AS varchar)]){value_as} "
         f"FROM (SELECT {key} AS key, count(*) AS n FROM rides {where} GROUP BY 1 {best})"
     )
 
 
+_ALERTS = _status_sql(
+    """
+    SELECT station_id, grab_time, is_empty FROM (
+        SELECT station_id, grab_time, is_empty,
+               lag(is_empty, 1, false) OVER (PARTITION BY station_id ORDER BY grab_time, id) AS before
+        FROM (SELECT *, num_bikes_available = 0 AS is_empty FROM status)
+    ) WHERE is_empty <> before
+    """
+)
+
+_FED = _with(
+    _STATUS,
+    "k_of AS (SELECT event_id AS id, cast(json_extract_string(props, '$.k') AS int) AS k FROM events)",
+    body="""
+    SELECT station_id, CASE WHEN k % 7 <> 0 THEN num_bikes_available END AS num_bikes_available,
+           num_docks_available, CASE WHEN k = 0 THEN 0 ELSE is_installed END AS is_installed,
+           coalesce(is_renting, 0) AS is_renting, coalesce(is_returning, 0) AS is_returning,
+           num_bikes_disabled, num_docks_disabled
+    FROM status JOIN k_of USING (id) WHERE grab_time // 86400 % 5 <> 0
+    """,
+)
+
 ORACLE: dict[str, str] = {
     "overview": _rides_sql(
         "SELECT count(*) AS total_rides, count(DISTINCT ride_id) AS distinct_ride_ids, "
@@ -443,19 +478,10 @@ ORACLE: dict[str, str] = {
         FROM rides
         """
     ),
-    "feed_status": _with(
-        _STATUS,
-        "k_of AS (SELECT event_id AS id, cast(json_extract_string(props, '$.k') AS int) AS k FROM events)",
-        body="""
-        SELECT station_id, CASE WHEN k % 7 <> 0 THEN num_bikes_available END AS num_bikes_available,
-               num_docks_available, CASE WHEN k = 0 THEN 0 ELSE is_installed END AS is_installed,
-               coalesce(is_renting, 0) AS is_renting, coalesce(is_returning, 0) AS is_returning,
-               num_bikes_disabled, num_docks_disabled
-        FROM status JOIN k_of USING (id) WHERE grab_time // 86400 % 5 <> 0
-        """,
-    ),
+    "feed_status": _FED,
     "feed_refused": _status_sql(
-        "SELECT DISTINCT grab_time // 86400 AS day, 'bad station' AS reason FROM status WHERE grab_time // 86400 % 5 = 0"
+        "SELECT day, 'bad station' AS reason FROM ("
+        f"SELECT DISTINCT grab_time // 86400 AS day, id // {stored.DOCUMENT_ROWS} FROM status) WHERE day % 5 = 0"
     ),
     "feed_stations": _with(_STATION, body="SELECT station_id, name, lat, lon, capacity FROM station"),
     "first_load": _with(_STATION, body="SELECT station_id, name, lat, lon, capacity FROM station WHERE station_id % 2 = 0"),
@@ -505,4 +531,38 @@ ORACLE: dict[str, str] = {
         "FROM status s JOIN cursors c ON c.station_id = s.station_id CROSS JOIN (VALUES (1), (2)) AS n(consumer_id) "
         "WHERE s.grab_time > c.last_time + consumer_id * 86400",
     ),
+    "published_corrupt": _rides_sql(
+        f"""
+        {_cells_sql('hourly_distribution', 'hour_of_day', 'rides', key='hour(started_ts)', named=True)}
+        UNION ALL {_cells_sql('rides_by_member_type', 'member_casual', 'rides')}
+        """
+    ),
+    "published_whole": _with(
+        _RIDES.replace("rides AS", "all_rides AS"),
+        "rides AS (SELECT * FROM all_rides WHERE member_casual = 'casual')",
+        body=f"""
+        {_cells_sql('hourly_distribution', 'hour_of_day', 'rides', key='hour(started_ts)', named=True)}
+        UNION ALL {_cells_sql('rides_by_member_type', 'member_casual', 'rides')}
+        UNION ALL {_cells_sql('top_start_stations', 'start_station_name', 'rides_started', top=True)}
+        """,
+    ),
+    "station_alerts": _ALERTS,
+    "stream_station_alerts": _ALERTS,
+    "stream_points_once": _series_sql("num_bikes_available"),
+    "latest_incremental": _with(_STATUS, _STATION, _LATEST, _LATEST_STATUS, body="SELECT * FROM latest_status"),
+    "live_state": _with(
+        _STATUS,
+        _LATEST,
+        body="SELECT station_id, id, grab_time, num_bikes_available, num_docks_available, "
+        "num_bikes_available = 0 AS is_empty FROM latest",
+    ),
+    "ingest_restarted": _FED,
+    "feed_stamps": _status_sql(
+        f"""
+        SELECT station_id, day * 86400 + block AS grab_time, (day * 86400 + block) * 1000 + 125 AS arrived_ms,
+               row_number() OVER (PARTITION BY day, block ORDER BY id) - 1 AS place, 1::bigint AS same_id
+        FROM (SELECT *, grab_time // 86400 AS day, id // {stored.DOCUMENT_ROWS} AS block FROM status)
+        WHERE day % 5 <> 0
+        """
+    ),
 }

@@ -15,8 +15,9 @@ from ridemetrics.plans import bridge
 from ridemetrics.plans.bridge import table
 from ridemetrics.schema import STATUS, STATUS_ADDED, STATUS_PARTITION
 from ridemetrics.session import scratch_dir
-from ridemetrics.sinks.reports import write_reports
+from ridemetrics.sinks.reports import publish_reports, write_reports
 from ridemetrics.sinks.tables import compact_status, load_stations_once, store_status
+from ridemetrics.sources import files
 from ridemetrics.sources.feeds import decode_stations, read_polls, refused_polls
 from ridemetrics.sources.reports import read_reports
 from ridemetrics.sources.rides import read_rides
@@ -160,14 +161,24 @@ def csv_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _land(documents: DataFrame, key: str, path: str) -> str:
-    """One landed JSON file per row of (key, document)."""
-    documents.repartition(key).write.partitionBy(key).text(path)
+#: Rows of one landed document: more rows give more documents, not longer ones.
+DOCUMENT_ROWS = 2000
+
+
+def _land(documents: DataFrame, keys: list[str], path: str) -> str:
+    """One landed JSON file per row of (keys, document)."""
+    documents.repartition(*keys).write.partitionBy(*keys).text(path)
     return path
 
 
+def _in_order(item, order: str):
+    """Texts of a document's rows, ordered."""
+    rows = F.array_sort(F.collect_list(F.struct(order, item.alias("item"))))
+    return F.transform(rows, lambda row: row["item"])
+
+
 def _landed_days(spark: SparkSession, sf_dir: str, purpose: str) -> str:
-    """Events as one status poll per day.
+    """Events as status polls, each of some rows of one day in the order of their ids.
 
     Counters are absent where k is 0, a bike count is an explicit null where 7
     divides k, and every fifth day holds a station without counts.
@@ -191,12 +202,14 @@ def _landed_days(spark: SparkSession, sf_dir: str, purpose: str) -> str:
     days = (
         status.join(k_of, "id")
         .withColumn("day", F.floor(F.col("grab_time") / 86400))
-        .groupBy("day")
-        .agg(F.concat_ws(",", F.collect_list(station)).alias("stations"))
+        .withColumn("block", F.floor(F.col("id") / DOCUMENT_ROWS))
+        .groupBy("day", "block")
+        .agg(F.concat_ws(",", _in_order(station, "id")).alias("stations"))
     )
     bad = F.when(F.col("day") % 5 == 0, ',{"station_id":"no counts"}').otherwise("")
     document = F.concat(F.lit('{"data":{"stations":['), "stations", bad, F.lit("]}}"))
-    return _land(days.select("day", document.alias("value")), "day", f"{scratch_dir(spark, purpose)}/landing")
+    keys = ["day", "block"]
+    return _land(days.select(*keys, document.alias("value")), keys, f"{scratch_dir(spark, purpose)}/landing")
 
 
 def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,15 +228,15 @@ def feed_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _station_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as one station document per nation, decoded."""
+    """Customers as station documents, each of some customers, decoded."""
     stations = bridge.stations_from_customers(table(spark, sf_dir, "customer"))
     fields = F.struct(*[F.col(c).cast("string").alias(c) for c in stations.columns])
-    documents = stations.groupBy("capacity").agg(
+    documents = stations.groupBy(F.floor(F.col("station_id") / DOCUMENT_ROWS).alias("poll")).agg(
         F.to_json(
             F.struct(F.struct(F.collect_list(fields).alias("stations")).alias("data")), {"ignoreNullFields": "false"}
         ).alias("value")
     )
-    landing = _land(documents.withColumnRenamed("capacity", "poll"), "poll", f"{scratch_dir(spark, 'feed-stations')}/landing")
+    landing = _land(documents, ["poll"], f"{scratch_dir(spark, 'feed-stations')}/landing")
     return decode_stations(read_polls(spark.read, landing))
 
 
@@ -277,6 +290,40 @@ def published_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.tables["hourly_distribution"]
 
 
+def published_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the store cannot be read to its end, so all come from the local set."""
+    run = scratch_dir(spark, "corrupt")
+    rides = bridge.rides_from_events(table(spark, sf_dir, "events"))
+    reports = all_reports(rides)
+    counted = {name: reports[name] for name in ("hourly_distribution", "rides_by_member_type")}
+    write_reports(counted, f"{run}/local")
+    write_reports(counted, f"{run}/store")
+    # A part whose name says gzip and whose bytes do not.
+    plain = f"{run}/store/rides_by_member_type"
+    part = next(n for n in files.child_files(spark, plain) if n.startswith("part-"))
+    files.rename(spark, f"{plain}/{part}", f"{plain}/{part}.gz")
+    found = read_reports(spark, [f"{run}/local"], store_uri=f"{run}/store" if ":" in run else f"file:{run}/store")
+    return reduce(DataFrame.union, [_cells(name, found.tables[name]) for name in counted])
+
+
+def published_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set whose fifth report fails while the rides of one kind are replaced by all: the old set stays."""
+    run = scratch_dir(spark, "whole-set")
+    rides = bridge.rides_from_events(table(spark, sf_dir, "events"))
+    publish_reports(all_reports(rides.filter("member_casual = 'casual'")), run)
+    broken = all_reports(rides)
+    fifth = list(broken)[4]
+    broken[fifth] = broken[fifth].withColumn("rides_started", F.raise_error(F.lit("the fifth report fails")).cast("long"))
+    try:
+        publish_reports(broken, run)
+    except Exception as error:
+        if "the fifth report fails" not in str(error):
+            raise
+    found = read_reports(spark, [run])
+    names = ["hourly_distribution", "rides_by_member_type", "top_start_stations"]
+    return reduce(DataFrame.union, [_cells(name, found.tables[name]) for name in names])
+
+
 def reports_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, and cells without a value, of all reports over rides without optional columns."""
     rides = bridge.rides_from_events(table(spark, sf_dir, "events")).select(

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
+from ridemetrics.sources import generations
 from ridemetrics.sources.rides import check_uri
 
 # Reports with one row per distinct value found in the data. They are range
@@ -36,3 +37,16 @@ def write_reports(reports: dict[str, DataFrame], base: str, at_once: int = 4) ->
     spark = next(iter(reports.values())).sparkSession
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(inheritable_thread_target(spark)(write), reports.items()))
+
+
+def publish_reports(reports: dict[str, DataFrame], base: str) -> str:
+    """Write the reports as one whole set under `base`, and give it to readers at the end.
+
+    Readers see the set before it until every report is written, and for good if
+    one fails. The set before stays too, for those who read it. Returns the set's folder.
+    """
+    spark = next(iter(reports.values())).sparkSession
+    folder = generations.begin(spark, check_uri(base))
+    write_reports(reports, folder)
+    generations.finish(spark, folder, keep=1)
+    return folder

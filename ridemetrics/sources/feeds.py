@@ -8,6 +8,7 @@ state.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, DataFrameReader
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ STATION_REQUIRED = ["name", "lat", "lon", "capacity"]
 # Fields that count as zero when absent.
 STATUS_DEFAULTED = list(STATUS_ADDED)
 
+# Rows of one document that an insertion id can number.
+POLL_ROWS = 10**7
+
 
 def read_polls(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """Landed documents with their arrival time in whole seconds.
@@ -116,13 +120,18 @@ def insertion_id() -> Column:
     """A number that grows with arrival, then poll, then position in the poll.
 
     Fixed width, so "newest row" stays a hash aggregation, and the same when a
-    poll is read again.
+    poll is read again. Of its 38 digits 13 are the arrival in milliseconds, 18
+    tell polls of one millisecond apart, and 7 are the position; a longer
+    document is an error.
     """
-    poll = F.pmod(F.xxhash64("poll_id"), F.lit(10**12)).cast("decimal(12,0)")
+    poll = F.pmod(F.xxhash64("poll_id"), F.lit(10**18)).cast("decimal(18,0)")
+    seq = F.when(F.col("seq") < POLL_ROWS, F.col("seq")).otherwise(
+        F.raise_error(F.concat(F.lit("More stations than an id can number in "), F.col("poll_id"))).cast("int")
+    )
     return (
-        F.col("arrived_ms").cast("decimal(13,0)") * F.lit(10**18).cast("decimal(19,0)")
-        + poll * F.lit(10**6).cast("decimal(7,0)")
-        + F.col("seq").cast("decimal(10,0)")
+        F.col("arrived_ms").cast("decimal(13,0)") * F.lit(Decimal(10**25))
+        + poll * F.lit(POLL_ROWS).cast("decimal(8,0)")
+        + seq.cast("decimal(10,0)")
     ).cast("decimal(38,0)")
 
 

@@ -29,11 +29,25 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(target) if s.isDirectory())
 
 
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right under `path`; none where there is nothing."""
+    store, target = _at(spark, path)
+    if not store.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in store.listStatus(target) if s.isFile())
+
+
 def touch(spark: SparkSession, path: str) -> None:
     store, target = _at(spark, path)
     store.create(target, True).close()
 
 
+def set_time(spark: SparkSession, path: str, millis: int) -> None:
+    """Give a file a modification time, where the store allows it."""
+    store, target = _at(spark, path)
+    store.setTimes(target, millis, -1)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     store, target = _at(spark, path)
     store.delete(target, True)

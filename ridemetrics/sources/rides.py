@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import csv
-import io
 import re
 from collections import Counter
-from urllib.parse import quote, urlparse
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +21,6 @@ CSV_NAME = re.compile(r"\.csv(\.(gz|bz2|zst))?$", re.IGNORECASE)
 # Distinct header lines that one set of ride files may have.
 MOST_LAYOUTS = 1000
 
-# Listing yields one partition per large file. This many tasks are enough to
-# read the first lines of millions of files.
-HEADER_TASKS = 1024
-
 
 def check_uri(path: str) -> str:
     """`path` unchanged; an object-store URI must name a bucket."""
@@ -46,40 +41,35 @@ def _searching(reader: DataFrameReader, spark: SparkSession, path: str) -> DataF
     return reader if _names_files(spark, path) else reader.option("pathGlobFilter", CSV_GLOB)
 
 
-def _head_reader():
-    """Function that turns batches of paths into first lines with content.
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """File and first line with content, of files that have one.
 
-    Only the head of a file is read. Everything is local to the function, so
-    it travels to workers that lack this package.
+    Lines come through Spark's own text reader, so any store and compression it
+    reads will do. Only the split at the start of a file counts, and a task
+    keeps one line per file; nothing but those is shuffled.
     """
-
-    def open_stream(path):
-        from pyarrow import fs
-
-        scheme, rest = re.match(r"(?:([\w+.-]+):)?(.*)", path).groups()
-        if scheme in (None, "file"):
-            return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-        scheme = "s3" if scheme.startswith("s3") else scheme
-        store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe="/:@")}")
-        return store.open_input_stream(name)
-
-    def first_line(path):
-        # Compression is detected by suffix; a byte order mark is dropped.
-        with open_stream(path) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig") as text:
-            return next((line.rstrip("\n") for line in text if line.strip()), None)
-
-    def first_lines(batches):
-        for batch in batches:
-            yield batch.assign(header=[first_line(p) for p in batch["path"]])[["path", "file_path", "header"]]
-
-    return first_lines
+    text = F.regexp_replace("value", "^\uFEFF", "")
+    lines = (
+        _searching(spark.read, spark, path)
+        .text(path)
+        .filter(F.col("_metadata.file_block_start") == 0)
+        .select(F.col("_metadata.file_path").alias("file_path"), text.alias("header"))
+        .filter(F.trim("header") != "")
+        # Grows along the lines of a split.
+        .withColumn("place", F.monotonically_increasing_id())
+    )
+    # A least text by itself would have all lines sorted by file first. Beside a
+    # collected set, which stays empty here, there is one entry per file in a hash map.
+    odd = F.collect_set(F.when(F.col("place") < 0, F.col("place")))
+    first = lines.groupBy("file_path").agg(F.min_by("header", "place").alias("header"), odd.alias("odd"))
+    return first.select("file_path", F.when(F.size("odd") == 0, F.col("header")).alias("header"))
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Path, its encoded form and header line of every ride file. The listing reads no content."""
+    """Path, its encoded form and header line of every ride file; NULL for one without content."""
     listed = _searching(spark.read.format("binaryFile"), spark, path).load(path)
     found = listed.select("path", F.col("_metadata.file_path").alias("file_path"))
-    return found.coalesce(HEADER_TASKS).mapInPandas(_head_reader(), "path string, file_path string, header string")
+    return found.join(_first_lines(spark, path), "file_path", "left").select("path", "file_path", "header")
 
 
 def header_columns(header: str) -> list[str]:
@@ -107,7 +97,8 @@ def _check_layouts(headers: DataFrame, layouts: dict[str, list[str]]) -> None:
 
 
 def _read_by_layout(spark: SparkSession, path: str) -> DataFrame:
-    headers = file_headers(spark, path).filter(F.col("header").isNotNull())
+    # One row per file; the files are read through once for it, and then it is at hand.
+    headers = file_headers(spark, path).filter(F.col("header").isNotNull()).persist()
     rows = headers.groupBy("header").agg(F.count("*")).take(MOST_LAYOUTS + 1)
     if not rows:
         raise ValueError(f"No CSV files found at {path}")
@@ -117,6 +108,7 @@ def _read_by_layout(spark: SparkSession, path: str) -> DataFrame:
     _check_layouts(headers, layouts)
     first, *others = layouts.values()
     if all(names == first for names in others):
+        headers.unpersist()
         reader = spark.read.schema(_all_strings(first)).option("header", True)
         return _searching(reader, spark, path).csv(path)
     return _read_mixed(spark, path, headers, layouts)

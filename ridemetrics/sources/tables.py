@@ -22,13 +22,32 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(path).drop(STATUS_LOAD)
 
 
+def list_loads(spark: SparkSession, path: str) -> DataFrame:
+    """Day and name of every load of the status table. The listing reads no content."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select(F.col(STATUS_PARTITION).cast("date"), F.col(STATUS_LOAD).cast("string")).distinct()
+
+
+def read_loads(spark: SparkSession, path: str, loads: list[tuple] | None = None) -> DataFrame:
+    """Status rows of some loads, (day, name) each, or of all.
+
+    Days and names become partition filters; a load of several days that is asked
+    for by one of them may come with rows of another.
+    """
+    rows = spark.read.schema(_SCHEMA).parquet(path)
+    if loads is not None:
+        days, names = (sorted(set(values)) for values in zip(*loads))
+        rows = rows.filter(F.col(STATUS_PARTITION).isin(days) & F.col(STATUS_LOAD).isin(names))
+    return rows.drop(STATUS_PARTITION, STATUS_LOAD)
+
+
 def follow_status(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The status table as a stream of appended rows, streamed or batch-written.
 
     Compacted files hold rows that came before and are passed over, so compact a
     day when its followers have read it. A micro-batch that failed after its
-    write and ran again comes twice to a follower that read in between; `id`
-    tells such rows.
+    write and ran again comes twice to a follower that read in between; see
+    `streaming.follow.each_once`.
     """
     reader = spark.readStream.schema(_SCHEMA).option("maxFileAge", ANY_AGE)
     if max_files:

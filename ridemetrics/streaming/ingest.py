@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +36,27 @@ def landed_polls(spark: SparkSession, landing: str, max_files: int | None = None
     return read_polls(reader, landing)
 
 
-def append_status(status: DataFrame, table: str, checkpoint: str, interval: str | None = POLL_INTERVAL) -> StreamingQuery:
-    """Append a status stream to the date-partitioned table, exactly once.
+def load_writer(spark: SparkSession, table: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each micro-batch as a load of the table.
 
-    Each micro-batch is a load named after the checkpoint and the batch, so a
-    batch that runs again replaces itself, and the table stays a plain one that
-    batch writes may append to.
+    The load is named after the checkpoint and the batch, so a batch that runs
+    again, because it stopped between its write and the commit, replaces itself.
     """
-    spark = status.sparkSession
     stream = hashlib.sha256(files.qualified(spark, checkpoint).encode()).hexdigest()[:16]
 
     def append(rows: DataFrame, batch_id: int) -> None:
         dated = rows.withColumn(STATUS_PARTITION, utc_day(F.col("grab_time")))
         write_load(dated, table, f"stream-{stream}-{batch_id}")
 
+    return append
+
+
+def append_status(status: DataFrame, table: str, checkpoint: str, interval: str | None = POLL_INTERVAL) -> StreamingQuery:
+    """Append a status stream to the date-partitioned table, exactly once.
+
+    The table stays a plain one that batch writes may append to, see load_writer.
+    """
+    append = load_writer(status.sparkSession, table, checkpoint)
     writer = status.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
     return paced(writer, interval).start()
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ridemetrics.operators.alerts import is_empty
 from ridemetrics.operators.stations import latest_rows
+from ridemetrics.schema import STATUS
 from ridemetrics.sources import files
 from ridemetrics.streaming.ingest import POLL_INTERVAL, paced
 
@@ -19,6 +21,37 @@ def latest_stream(status: DataFrame) -> DataFrame:
     return latest_rows(status)
 
 
+def keep_latest_state(status: DataFrame, checkpoint: str, interval: str | None = POLL_INTERVAL) -> StreamingQuery:
+    """Keep the newest row per station in the state of a stream, and nowhere else.
+
+    `read_latest_state` answers from that state; no table is written besides.
+    """
+    columns = [column.split()[0] for column in STATUS.split(", ")]
+    writer = (
+        latest_stream(status.select(columns))
+        .writeStream.outputMode("update")
+        .format("noop")
+        .option("checkpointLocation", checkpoint)
+    )
+    return paced(writer, interval).start()
+
+
+def read_latest_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The newest row per station from the state kept by `keep_latest_state`.
+
+    The state data source reads the last committed batch, while the stream may
+    go on. A column's buffer is its value and the id it belongs to; the source
+    gives them all the same names, so they are told by their order.
+    """
+    columns = [column.split() for column in STATUS.split(", ")]
+    carried = [(name, kind) for name, kind in columns if name != "station_id"]
+    order = dict(columns)["id"]
+    buffers = ", ".join(f"{name}: {kind}, {name}_order: {order}" for name, kind in carried)
+    state = spark.read.format("statestore").load(checkpoint)
+    rows = state.select("key.station_id", F.col("value").cast(f"struct<{buffers}>").alias("value"))
+    return rows.select("station_id", *[f"value.{name}" for name, _ in carried]).withColumn("is_empty", is_empty())
+
+
 #: States kept besides the newest, so that a DataFrame read before stays whole.
 KEPT = 2
 
@@ -53,7 +86,7 @@ def merge_batch(root: str):
             previous = spark.read.parquet(_state(root, before[-1]))
             rows = latest_rows(previous.drop("is_empty").unionByName(changes))
         (
-            rows.withColumn("is_empty", F.coalesce(F.col("num_bikes_available") == 0, F.lit(False)))
+            rows.withColumn("is_empty", is_empty())
             .write.mode("overwrite")
             .parquet(_state(root, batch_id))
         )

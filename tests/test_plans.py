@@ -8,10 +8,12 @@ from ridemetrics.operators.rides import derive
 from ridemetrics.plans import bridge, catalog
 from ridemetrics.schema import STATUS
 from ridemetrics.sinks.tables import store_rides, store_status
+from ridemetrics.sources.rides import file_headers
 from ridemetrics.sources.tables import read_status
 
 SF_DIR = "/root/testdata/sf0.001"
-THROUGH_FILES = {"stream_status", "stream_latest_status", "stream_new_points", "csv_rides", "published_counts", "csv_mixed_layouts", "status_mixed_writes", "feed_status", "feed_refused", "feed_stations", "first_load", "published_reports", "published_fallback", "cursor_series"}
+THROUGH_FILES = {"stream_status", "stream_latest_status", "stream_new_points", "csv_rides", "published_counts", "csv_mixed_layouts", "status_mixed_writes", "feed_status", "feed_refused", "feed_stations", "first_load", "published_reports", "published_fallback", "cursor_series",
+                 "published_corrupt", "published_whole", "stream_station_alerts", "stream_points_once", "latest_incremental", "live_state", "ingest_restarted", "feed_stamps"}
 
 
 @pytest.fixture
@@ -189,3 +191,14 @@ def test_each_consumer_gets_its_rows(spark, stored_status):
     everything = series.bike_series(stored_status, "1").count()
     counts = {(r.consumer_id, r.station_id): r["count"] for r in got.groupBy("consumer_id", "station_id").count().collect()}
     assert counts[("x", "1")] == one and counts[("y", "1")] == everything
+
+
+def test_headers_come_without_python_and_without_a_sort(spark, plan, tmp_path):
+    (tmp_path / "a.csv").write_text("ride_id,started_at,ended_at\nr1,x,y\n")
+    text = plan(file_headers(spark, str(tmp_path)))
+    assert "ObjectHashAggregate" in text and "Scan text" in text
+    for operator in ["Python", "Pandas", "Arrow", "SortAggregate"]:
+        assert operator not in text
+    for name in ("csv_mixed_layouts", "csv_rides"):
+        text = plan(catalog.QUERIES[name](spark, SF_DIR))
+        assert not any(operator in text for operator in ["Python", "Pandas", "InArrow"])

@@ -1,11 +1,12 @@
 import os
+import shutil
 import time
 
 import pytest
 
 from ridemetrics.plans.ride_analysis import analyze, main
 from ridemetrics.schema import REPORT_COLUMNS
-from ridemetrics.sinks.reports import write_report, write_reports
+from ridemetrics.sinks.reports import publish_reports, write_report, write_reports
 from ridemetrics.sources.reports import freshest, read_report, read_reports
 from tests.test_ride_csv import HEADER, write
 
@@ -129,3 +130,47 @@ def test_a_programming_error_is_no_unreachable_store(spark, published, monkeypat
     monkeypatch.setattr("ridemetrics.sources.reports.read_report", broken)
     with pytest.raises(TypeError):
         read_reports(spark, [published], store_uri=f"file:{published}")
+
+
+def test_a_report_that_cannot_be_read_to_its_end_falls_back(spark, published, tmp_path):
+    for damage in ("gzip", "checksum"):
+        store = tmp_path / damage
+        shutil.copytree(published, store)
+        part = next(p for p in (store / "top_end_stations").iterdir() if p.suffix == ".csv")
+        if damage == "gzip":
+            part.rename(part.with_name(part.name + ".gz"))
+        else:
+            part.write_bytes(part.read_bytes()[:-3] + b"zzz")  # its .crc file tells
+        got = read_reports(spark, [published], store_uri=f"file:{store}")
+        assert got.available and got.output_dir == published and "Object store failed" in got.message
+        assert text(got.tables["overview"])[0][0] == "4"
+        # Without a set to fall back to there is none.
+        assert not read_reports(spark, [], store_uri=f"file:{store}").available
+
+
+def test_a_failing_report_leaves_the_old_set(spark, tmp_path):
+    base = str(tmp_path / "sets")
+    frame = lambda n: spark.createDataFrame([(str(n),)], "rides string")
+    names = list(REPORT_COLUMNS)
+    publish_reports({name: frame(1) for name in names}, base)
+    held = read_reports(spark, [base])
+    bad = {name: frame(2) for name in names}
+    bad[names[4]] = spark.range(3).selectExpr("cast(raise_error('fifth') as string) AS rides")
+    with pytest.raises(Exception, match="fifth"):
+        publish_reports(bad, base)
+    for got in (held, read_reports(spark, [base])):
+        assert {name: text(table) for name, table in got.tables.items()} == {name: [("1",)] for name in names}
+    publish_reports({name: frame(3) for name in names}, base)
+    assert text(read_reports(spark, [], store_uri=f"file:{base}").tables[names[4]]) == [("3",)]
+    # The set before the newest stays for those who read it; the broken one is gone.
+    assert text(held.tables[names[0]]) == [("1",)]
+    assert sorted(n for n in os.listdir(base)) == ["generation=1", "generation=3"]
+    assert freshest(spark, [base]) == base
+
+
+def test_job_publishes_a_whole_set(spark, published, tmp_path):
+    out = str(tmp_path / "out")
+    main(["--input", f"{published}/../in", "--output", out, "--whole-set"])
+    assert os.listdir(out) == ["generation=1"]
+    a, b = (read_reports(spark, [p]).tables for p in (published, out))
+    assert {n: text(t) for n, t in a.items()} == {n: text(t) for n, t in b.items()}
