@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from ridemetrics.llm.components import connected_components
-from ridemetrics.llm.embedding_dedup import bucket_codes, embedding_dedup, unit
+from ridemetrics.llm.embedding_dedup import PER_BUCKET, bucket_codes, embedding_dedup, padded_width, shape_for, unit
 from ridemetrics.llm.exact_dedup import exact_dedup
 from ridemetrics.llm.simhash import first_of_groups, near_fingerprints, simhash_components
 
@@ -166,15 +167,52 @@ def test_embeddings_of_floats_nulls_and_nothing(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_recall_at_the_bound():
+@pytest.mark.parametrize(("vectors", "least"), [(0, 0.995), (1_000_000, 0.98), (1_000_000_000, 0.98)])
+def test_recall_at_the_bound(vectors, least):
+    """Random pairs at exactly 0.9, with as many tables, probes and rotations as so many vectors get."""
     r = np.random.default_rng(0)
     x = unit(r.normal(size=(3000, 64)))
     side = r.normal(size=x.shape)
     side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
     y = 0.9 * x + np.sqrt(1 - 0.81) * side
-    a, b = bucket_codes(x), bucket_codes(y)
+    shape = shape_for(vectors, 64)
+    a, b = bucket_codes(x, *shape), bucket_codes(y, *shape)
     met = (a == b[:, :, :1]).any(axis=(1, 2)) | (b == a[:, :, :1]).any(axis=(1, 2))
-    assert met.mean() > 0.995
+    assert met.mean() > least
+
+
+def test_buckets_stay_small_however_many_vectors():
+    for dims in (24, 64, 300, 1024):
+        shapes = [shape_for(10**k, dims) for k in range(3, 12)]
+        assert shapes == sorted(shapes)
+        for k, (tables, probes, turns) in zip(range(3, 12), shapes):
+            buckets = (2 * padded_width(dims)) ** turns
+            # Buckets enough, or as many as codes can name.
+            assert 10**k / buckets <= PER_BUCKET or buckets * 2 * padded_width(dims) > 1 << 40
+            assert buckets <= 1 << 40 and tables < 256
+
+
+def test_vectors_that_share_an_id_or_have_none_are_vectors_each(spark):
+    schema = "vec_id long, embedding array<double>"
+    for shared in (5, None):
+        rows = [(shared, [1.0, 0.0, 0.0, 0.0]), (shared, [0.0, 1.0, 0.0, 0.0]), (6, [1.0, 0.01, 0.0, 0.0]), (7, [0.0, 1.0, 0.01, 0.0])]
+        rows += [(8, [0.0, 0.0, 0.0, 1.0]), (8, [0.0, 0.0, 1.0, 0.0]), (8, [0.0, 0.0, 1.0, 0.0])]
+        got = embedding_dedup(spark.createDataFrame(rows, schema).repartition(3)).collect()
+        found = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got)
+        own = shared or 0
+        assert found == sorted([(own, 1, own), (own, 1, own), (6, 1, own), (7, 1, own), (8, 0, 8), (8, 1, 8), (8, 1, 8)])
+
+
+def test_more_rotations_find_the_same(spark, monkeypatch):
+    rows = vector_rows()
+    count, component = vector_brute(rows)
+    monkeypatch.setattr("ridemetrics.llm.embedding_dedup.PER_BUCKET", 1e-4)
+    assert shape_for(len(rows), 24)[2] > 3
+    for block in (5, 4096):
+        got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect()
+        close = sum(r.n_links for r in got) / sum(count.values())
+        assert 0.97 <= close <= 1
+        assert all(r.n_links <= count[r.vec_id] for r in got)
 
 
 def test_exact_dedup(spark):
