@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridemetrics.llm.common import materialise
-from ridemetrics.llm.line_dedup import deduped_documents
+from ridemetrics.llm.line_dedup import CHUNKINGS, UNION_EVERY, deduped_documents
 from ridemetrics.llm.mixing import mixed_documents
 from ridemetrics.llm.packing import pack_documents
 from ridemetrics.llm.quality import good_documents
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines cut out; n_chars counts what is left."""
-    kept = deduped_documents(docs)
+    kept = deduped_documents(docs, every=UNION_EVERY, chunkings=CHUNKINGS)
     if "n_chars" in kept.columns:
         n_chars = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
         kept = kept.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), n_chars))
