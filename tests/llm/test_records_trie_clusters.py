@@ -6,13 +6,11 @@ import random
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ridemetrics.llm import catalog
 from ridemetrics.llm.lloyd import LARGEST, lloyd_clusters, scaled
 from ridemetrics.llm.prefix_trie import end_hashes, prefix_trie
 from ridemetrics.llm.token_records import END_BLOCK, frame, frames, read_index, read_shuffled, record_digests, write_records
@@ -235,16 +233,3 @@ def test_components_beyond_exact_distances():
     assert scaled(np.array([LARGEST / 1024]))[0] == LARGEST
     with pytest.raises(ValueError, match="64 bits"):
         scaled(np.array([1e9]))
-
-
-@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_lloyd"])
-def test_queries_equal_sql(spark, name):
-    sf_dir = "/root/testdata/sf0.001"
-    duck = duckdb.connect()
-    for table in ("conversations", "embeddings"):
-        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-    oracle = duck.execute(catalog.ORACLE[name])
-    columns = [d[0] for d in oracle.description]
-    want = sorted(oracle.fetchall(), key=repr)
-    got = catalog.QUERIES[name](spark, sf_dir).select(columns).collect()
-    assert want and sorted((tuple(r) for r in got), key=repr) == want
