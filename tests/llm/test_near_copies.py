@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from ridemetrics.llm import exact_dedup as exact_dedup_module
 from ridemetrics.llm.components import connected_components
 from ridemetrics.llm.embedding_dedup import PER_BUCKET, bucket_codes, embedding_dedup, padded_width, shape_for, unit
 from ridemetrics.llm.exact_dedup import exact_dedup
@@ -238,3 +240,44 @@ def test_exact_dedup_cuts_a_group_over_partitions(spark):
     copies = got.filter("group_size > 1")
     assert copies.count() == 2000
     assert [r.doc_id for r in copies.filter("kept").collect()] == [2999]
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 1000])
+def test_exact_dedup_whatever_the_batches(spark, batch):
+    r = random.Random(batch)
+    rows = [(i, f"text {r.choice([0, 0, 0, 1, 2, 3]) or r.randint(4, 60)}") for i in range(300)]
+    # One group over several partitions, alone in some of them.
+    rows += [(1000 + i, "copy") for i in range(900)] + [(None, "copy"), (None, "text 1"), (5, "text 1")]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t, []).append(d)
+    want = [(d or -1, max(i or -1 for i in groups[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows]
+    assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted(want)
+    assert all(bool(r.kept) == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_exact_dedup_goes_by_neighbours_compared_whole(spark, monkeypatch):
+    """Without the comparison of neighbours no copies are found; and no grouping of all rows finds them instead."""
+    rows = [(i, "same") for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.group_size for r in exact_dedup(frame).collect()} == {6}
+    original = exact_dedup_module._mark_runs
+
+    def blind(batches):
+        def numbered():
+            for batch in batches:
+                own = pa.array([f"{t}{i}" for i, t in enumerate(batch.column("text").to_pylist())])
+                yield batch.set_column(batch.schema.get_field_index("text"), "text", own)
+
+        return original(numbered())
+
+    monkeypatch.setattr(exact_dedup_module, "_mark_runs", blind)
+    assert max(r.group_size for r in exact_dedup(frame.repartition(1)).collect()) < 6
