@@ -7,12 +7,14 @@ Karmarkar-Karp differencing: partial partitions are merged largest imbalance
 first, the full window of one on the empty window of the other, so that all
 come out nearly equal. A document may be cut anywhere, so what still stands
 over a window's capacity goes on to the next ones; if all are full, the window
-count rises. The last windows of a group take sizes that need no padding.
+count rises. What does not fill a window waits for the next group, and only the
+last windows of a task are shorter, of sizes that need no padding.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import sys
 import types
@@ -52,6 +54,27 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: The normaliser and the cutting that _PIECES and _PLAIN stand for.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_CUTTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: How the vocabulary cuts lower-case text made of the characters of _PLAIN only.
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eß-öø-ÿÀ-ÖØ-Þ]*")
@@ -64,7 +87,8 @@ class WordTokenizer:
     merges inside each piece alone. Text of plain letters is cut here, and ids of
     pieces met before come from a cache; new ones go to the merge model. Words
     with any other character, and the special tokens, go through the whole
-    tokenizer, word by word: no piece spans white space.
+    tokenizer, word by word: no piece spans white space. A vocabulary with other
+    rules is left to the whole tokenizer, text by text.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
@@ -73,6 +97,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
+        parts = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.known_rules = [part and json.loads(part.__getstate__()) for part in parts] == [_NORMALIZER, _CUTTING]
         self.pieces: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
 
@@ -99,6 +125,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
+        if not self.known_rules:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self._plain(text):
             return self._cut(_PIECES.findall(text.lower()))
         out = []
@@ -152,13 +180,18 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return parts + [[] for _ in range(windows - len(parts))]
 
 
-def pack_group(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (document, start, length) over documents of these lengths.
+#: A piece of a document: its number, where it starts there, its length.
+Piece = tuple[int, int, int]
 
-    Every window is full or holds a power of two of tokens.
+
+def pack_group(lengths: list[int], window: int = WINDOW, last: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
+    """Windows of pieces over documents of these lengths, and the pieces left over.
+
+    All windows are full, and less than a window is left over; of the last group
+    that comes in windows of a power of two of tokens, and nothing is left.
     """
-    full: list[list[tuple[int, int, int]]] = []
-    rest: list[tuple[int, int, int]] = []
+    full: list[list[Piece]] = []
+    rest: list[Piece] = []
     for doc, length in enumerate(lengths):
         whole = length // window
         full.extend([(doc, k * window, window)] for k in range(whole))
@@ -166,14 +199,15 @@ def pack_group(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int,
             rest.append((doc, whole * window, length % window))
     total = sum(piece[2] for piece in rest)
     if not total:
-        return full
+        return full, []
     count = -(-total // window)
     dealt = [[rest[i] for i in part] for part in difference([p[2] for p in rest], count)]
-    # Capacities: whole windows, then the powers of two that make up the remainder.
+    # Capacities: whole windows, then the remainder, at the end in powers of two.
+    remainder = total % window
     capacity = [window] * (total // window)
-    capacity += [1 << b for b in range(window.bit_length() - 1, -1, -1) if (total % window) >> b & 1]
-    windows: list[list[tuple[int, int, int]]] = []
-    over: list[tuple[int, int, int]] = []
+    capacity += [1 << b for b in range(window.bit_length() - 1, -1, -1) if remainder >> b & 1] if last else [remainder]
+    windows: list[list[Piece]] = []
+    over: list[Piece] = []
     free: list[int] = []
     for k, room in enumerate(capacity):
         kept = []
@@ -186,6 +220,8 @@ def pack_group(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int,
                 over.append((doc, start + take, length - take))
         windows.append(kept)
         free.append(room)
+    # Pieces that a smaller last window has no part in.
+    over += [piece for part in dealt[len(capacity) :] for piece in part]
     k = 0
     for doc, start, length in over:
         while length:
@@ -195,7 +231,8 @@ def pack_group(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int,
             windows[k].append((doc, start, take))
             free[k] -= take
             start, length = start + take, length - take
-    return full + windows
+    left = [] if last else windows.pop()
+    return full + windows, left
 
 
 def _packer(path: str, window: int, group_windows: int, end_id: int):
@@ -205,26 +242,30 @@ def _packer(path: str, window: int, group_windows: int, end_id: int):
         encoder = worker_tokenizer(path)
         base = TaskContext.get().partitionId() << 32
         sequence = 0
-        ids: list[int] = []
-        tokens: list[bytes] = []
+        # doc_id, its tokens in all, where these tokens start in it, these tokens
+        waiting: list[tuple[int, int, int, bytes]] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(last: bool) -> pa.RecordBatch:
             nonlocal sequence, held
             out: list[tuple] = []
-            lengths = [len(t) // 4 for t in tokens]
-            for pieces in pack_group(lengths, window):
+            windows, left = pack_group([len(data) // 4 for *_, data in waiting], window, last)
+            for pieces in windows:
                 offset = 0
-                for doc, start, length in pieces:
-                    crc = zlib.crc32(memoryview(tokens[doc])[4 * start : 4 * (start + length)])
-                    out.append((ids[doc], start, length, crc, lengths[doc], base + sequence, offset))
+                for entry, at, length in pieces:
+                    doc_id, doc_tokens, start, data = waiting[entry]
+                    crc = zlib.crc32(memoryview(data)[4 * at : 4 * (at + length)])
+                    out.append((doc_id, start + at, length, crc, doc_tokens, base + sequence, offset))
                     offset += length
                 sequence += 1
+            carried = []
+            for entry, at, length in left:
+                doc_id, doc_tokens, start, data = waiting[entry]
+                carried.append((doc_id, doc_tokens, start + at, data[4 * at : 4 * (at + length)]))
+            waiting[:] = carried
+            held = sum(len(data) // 4 for *_, data in carried)
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             table = np.array(out, np.int64).reshape(-1, len(names))
-            ids.clear()
-            tokens.clear()
-            held = 0
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(names))], names
             )
@@ -232,14 +273,13 @@ def _packer(path: str, window: int, group_windows: int, end_id: int):
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for doc_id, text in zip(doc_ids, texts):
-                data = encoder.encode(text.as_py())
-                ids.append(doc_id)
-                tokens.append(data + end)
-                held += len(data) // 4 + 1
+                data = encoder.encode(text.as_py()) + end
+                waiting.append((doc_id, len(data) // 4, 0, data))
+                held += len(data) // 4
                 if held >= group_windows * window:
-                    yield flush()
-        if ids:
-            yield flush()
+                    yield flush(last=False)
+        if waiting:
+            yield flush(last=True)
 
     return pack
 
@@ -257,8 +297,8 @@ def pack_documents(
 
     Each document is its ids and then `end_id`; a NULL or empty text is that one
     id. Every id lies in exactly one piece and pieces fill their sequence from 0
-    without gaps. Sequences hold `window` ids or a power of two of them, so none
-    needs padding. A row that comes twice is packed twice; a NULL id stays NULL.
+    without gaps. Sequences hold `window` ids, so none needs padding; the last of
+    each task hold a power of two. A row that comes twice is packed twice; a NULL id stays NULL.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")

@@ -155,7 +155,8 @@ def test_groups_need_no_padding():
     r = random.Random(3)
     for _ in range(40):
         lengths = [r.choice([1, r.randint(1, 300), r.randint(1, 20000)]) for _ in range(r.randint(1, 60))]
-        windows = pack_group(lengths)
+        windows, left = pack_group(lengths)
+        assert not left
         loads = [sum(p[2] for p in w) for w in windows]
         assert all(x == WINDOW or x & (x - 1) == 0 for x in loads) and min(loads) > 0
         seen = {}
@@ -169,6 +170,36 @@ def test_groups_need_no_padding():
             assert at == length
 
 
+def test_groups_leave_less_than_a_window():
+    r = random.Random(4)
+    for _ in range(40):
+        lengths = [r.choice([1, r.randint(1, 300), r.randint(1, 20000)]) for _ in range(r.randint(1, 60))]
+        windows, left = pack_group(lengths, last=False)
+        assert all(sum(p[2] for p in w) == WINDOW for w in windows)
+        assert sum(p[2] for p in left) == sum(lengths) % WINDOW
+        ids = sorted((doc, start + k) for w in [*windows, left] for doc, start, n in w for k in range(n))
+        assert ids == [(doc, k) for doc, n in enumerate(lengths) for k in range(n)]
+
+
+def test_only_the_end_of_a_task_is_short(spark):
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, "word " * r.randint(0, 900)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    got = pack_documents(docs, PATH, group_windows=2).groupBy("sequence_id").sum("length").collect()
+    sizes = [n for _, n in sorted(got)]
+    short = [n for n in sizes if n < WINDOW]
+    assert len(sizes) > 20 and sizes[: -len(short) or None] == [WINDOW] * (len(sizes) - len(short))
+    assert sum(short) < WINDOW and sorted(short, reverse=True) == short
+
+
+def test_other_vocabularies_use_the_whole_tokenizer():
+    text = "Some words, 42 of them: it's été"
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(WordTokenizer(path).encode(text), "<u4").tolist() == want
+    assert WordTokenizer(PATH).known_rules
+
+
 def test_packing_round_trip(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choice(["the", "of", "Wort", "été", "x1"]) for _ in range(r.choice([0, 5, 300, 9000]))), i) for i in range(60)]
