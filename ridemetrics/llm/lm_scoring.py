@@ -1,7 +1,8 @@
 """Language-model scores by logistic context mixing over bits.
 
 A text is its lower-cased words joined by single spaces, and an end mark. Each
-byte is a path of yes-or-no steps through a fixed code tree. For every step,
+byte is a path of yes-or-no steps through the code tree of the byte before it,
+made from counts of byte pairs over all training documents. For every step,
 several contexts (the last three and five bytes, and the word so far) are
 hashed with the step to a slot of their table, whose counts over all training
 documents give a probability and how sure it is. The predictions are added in the
@@ -10,26 +11,38 @@ are, and a last stage corrects the mix by its own size. Weights and corrections
 start the same for every document and are refined within it, after stretches that
 double in length, so a score depends on its document and the training counts only.
 
-Counts are summed where texts are read, then per slice of a table. Tables have a
-fixed size, whatever the corpus; only they are sent to every task. Word counts
-for the base score have no such bound: documents ask for the counts of their
-words by a shuffle.
+What the bits give for a word is mixed with the word's count, under a weight that
+goes by the size of the count and shifts with what either predicted better in the
+document so far. Word counts grow with the corpus without a bound: documents ask
+for the counts of their words by a shuffle. Tables of bits have a fixed size; they
+and the pair counts are all that is sent to every task.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridemetrics.llm.anchors import bucket_count, by_bucket, split_rows
-from ridemetrics.llm.common import NULL_ID, keyed, materialise, mix64, public_id, run_starts, shuffle_width, unpack, utf8_slices
+from ridemetrics.llm.common import (
+    NULL_ID,
+    NULL_SPREAD,
+    keyed,
+    materialise,
+    mix64,
+    public_spread_id,
+    run_starts,
+    shuffle_width,
+    spread_nulls,
+    unpack,
+    utf8_slices,
+)
 from ridemetrics.llm.substring_dedup import WordHashes
 
 FOLDS = 10
@@ -41,90 +54,94 @@ TABLE_SLICE = 1 << 18
 COUNTS, WORDS = 0, 1
 SMOOTH = 0.1
 
-#: Bytes by how often lower-cased text in Latin script has them, most frequent first.
-COMMON = b" etaoinsrhldu\xc3cmpgbwfv.,yk\xa9\xa8\xb1\xb3qj\nxz\xad\xa1\xbc\xb6\xa4\xaa\xa7"
+#: Weight of a byte that training never showed after another.
+UNSEEN = 0.02
 
 
-def code_tree() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman tree over bytes: start and length of each byte's path, then node hashes and bits of all paths.
+def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree over bytes for each byte before: start and length of each pair's path, node hashes and bits of all paths.
 
-    Weights fall by a fixed ratio along COMMON; all other bytes weigh the same.
+    `pairs` counts (byte before, byte). Frequent pairs take few steps, and every
+    byte can be told after every other.
     """
-    weight = np.full(256, 2e-4)
-    weight[list(COMMON)] = 0.18 * 0.86 ** np.arange(len(COMMON))
-    heap = [(float(w), b, b) for b, w in enumerate(weight)]
-    heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    following = 256
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[2]], parent[b[2]] = (following, 0), (following, 1)
-        heapq.heappush(heap, (a[0] + b[0], following, following))
-        following += 1
     starts, lengths, nodes, bits = [], [], [], []
-    for byte in range(256):
-        path = []
-        at = byte
-        while at in parent:
-            path.append(parent[at])
-            at = parent[at][0]
-        starts.append(len(nodes))
-        lengths.append(len(path))
-        for node, bit in reversed(path):
-            nodes.append(node - 255)
-            bits.append(bit)
+    for before, weight in enumerate(pairs.astype(np.float64) + UNSEEN):
+        heap = [(float(w), b, b) for b, w in enumerate(weight)]
+        heapq.heapify(heap)
+        parent: dict[int, tuple[int, int]] = {}
+        for following in range(256, 511):
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            parent[a[2]], parent[b[2]] = (following, 0), (following, 1)
+            heapq.heappush(heap, (a[0] + b[0], following, following))
+        for byte in range(256):
+            path = []
+            at = byte
+            while at in parent:
+                path.append(parent[at])
+                at = parent[at][0]
+            starts.append(len(nodes))
+            lengths.append(len(path))
+            for node, bit in reversed(path):
+                nodes.append(before << 8 | node - 255)
+                bits.append(bit)
     spread = (mix64(np.array(nodes, np.uint64)) >> np.uint64(32)).astype(np.uint32)
     return np.array(starts, np.int32), np.array(lengths, np.int32), spread, np.array(bits, np.uint8)
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    return (
-        np.multiply.accumulate(np.full(n + 1, base, np.uint64)),
-        np.multiply.accumulate(np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)),
-    )
+def coded_text(text: bytes) -> bytes:
+    """What the model spells: lower-cased words joined by single spaces, and an end."""
+    return b" ".join(text.lower().split()) + bytes([END])
+
+
+class Coder:
+    """Code trees, and the powers that word hashes need, for the texts of a task."""
+
+    def __init__(self, trees: tuple) -> None:
+        self.starts, self.lengths, self.nodes, self.bits = trees
+        self.known = (np.zeros(0, np.uint64),) * 2
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least `n` powers of an odd number and of its inverse, modulo 2**64."""
+        if len(self.known[0]) < n:
+            size, base = 1 << n.bit_length(), 0x9E3779B97F4A7C15
+            self.known = tuple(
+                np.multiply.accumulate(np.full(size, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64))
+            )
+        return self.known
 
 
 class Steps:
-    """The code steps of some texts, ordered by stretch: slots of each context, bit, document."""
+    """The code steps of some texts: slots of each context, and bit.
+
+    To score, they are ordered by stretch, and it is told which document and word
+    each is of; counting needs neither.
+    """
 
-    def __init__(self, texts: list[bytes], tree) -> None:
-        starts, lengths, nodes, bits = tree
+    def __init__(self, texts: list[bytes], coder: Coder, scored: bool = True) -> None:
         pad = bytes([END]) * PAD
-        bodies = [pad + b" ".join(t.lower().split()) + pad[:1] for t in texts]
+        bodies = [pad + coded_text(t) for t in texts]
         sizes = np.array([len(b) for b in bodies])
         data = np.frombuffer(b"".join(bodies), np.uint8)
         begin = np.cumsum(sizes) - sizes
         coded = np.ones(len(data), bool)
         coded[(begin[:, None] + np.arange(PAD)).reshape(-1)] = False
         at = np.flatnonzero(coded)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes - PAD)
-        # Stretches end at 64, 192, 448 ... bytes of a document.
-        unit = (at - begin[doc] - PAD) >> 6
-        stretch = (np.frexp(np.arange(1, int(unit.max()) + 2))[1] - 1).astype(np.uint8)[unit]
-        # What is learnt in a document's last stretch has no use: those come after the others.
-        last = np.zeros(len(texts), np.uint8)
-        last[doc] = stretch
-        turn = 2 * stretch + (stretch == last[doc])
-        order = np.argsort(turn, kind="stable")
-        at, doc, turn = at[order], doc[order], turn[order]
+        if scored:
+            at = self._by_stretch(at, begin, sizes)
         wide = data.astype(np.uint32)
         three = wide[at - 1] | wide[at - 2] << np.uint32(8) | wide[at - 3] << np.uint32(16)
         five = (three | wide[at - 4] << np.uint32(24)) * np.uint32(0x01000193) + wide[at - 5] * np.uint32(0x27D4EB2F)
-        contexts = [three, five, self._word_so_far(data, at)]
-        n = lengths[data[at]]
+        contexts = [three, five, self._word_so_far(data, at, coder)]
+        pair = (three & np.uint32(255)) << np.uint32(8) | wide[at]
+        n = coder.lengths[pair]
         ends = np.cumsum(n)
         # Taking by place is several times faster than repeating each array.
         of_byte = np.repeat(np.arange(len(n)), n)
-        path = np.arange(int(ends[-1])) + (starts[data[at]] - ends + n)[of_byte]
-        step = nodes[path]
-        self.bit = bits[path]
-        self.doc = doc[of_byte]
-        # Of each stretch: begin, begin of what is last, end.
-        bounds = np.searchsorted(turn, np.arange(int(turn[-1]) // 2 * 2 + 3))
-        self.edges = np.r_[0, ends][bounds].tolist()
+        path = np.arange(int(ends[-1])) + (coder.starts[pair] - ends + n)[of_byte]
+        step = coder.nodes[path]
+        self.bit = coder.bits[path]
+        if scored:
+            self._tell(data, coded, at, begin, sizes, of_byte, ends)
         self.slots = []
         for k, (context, width) in enumerate(zip(contexts, TABLE_BITS)):
             mixed = (context + np.uint32(k + 1)) * np.uint32(0x85EBCA6B)
@@ -138,12 +155,38 @@ class Steps:
             slot >>= np.uint32(32 - width)
             self.slots.append(slot)
 
+    def _by_stretch(self, at: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of bytes in order of their stretch, which end at 64, 192, 448 ... bytes of a document."""
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - PAD)
+        unit = (at - begin[doc] - PAD) >> 6
+        stretch = (np.frexp(np.arange(1, int(unit.max()) + 2))[1] - 1).astype(np.uint8)[unit]
+        # What is learnt in a document's last stretch has no use: those come after the others.
+        last = np.zeros(len(sizes), np.uint8)
+        last[doc] = stretch
+        turn = 2 * stretch + (stretch == last[doc])
+        order = np.argsort(turn, kind="stable")
+        self.of_doc, self.turn = doc[order], turn[order]
+        return at[order]
+
+    def _tell(self, data, coded, at, begin, sizes, of_byte, ends) -> None:
+        """Document and word of each step, and where stretches are."""
+        self.doc = self.of_doc[of_byte]
+        # Words with the space or end behind them, numbered over all texts.
+        cut = coded & ((data == 32) | (data == END))
+        words = np.cumsum(cut, dtype=np.int32)
+        self.words = int(words[-1])
+        self.word = (words - cut)[at][of_byte]
+        self.word_doc = np.repeat(np.arange(len(sizes)), np.diff(np.r_[0, words[begin + sizes - 1]]))
+        # Of each stretch: begin, begin of what is last, end.
+        bounds = np.searchsorted(self.turn, np.arange(int(self.turn[-1]) // 2 * 2 + 3))
+        self.edges = np.r_[0, ends][bounds].tolist()
+
     @staticmethod
-    def _word_so_far(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _word_so_far(data: np.ndarray, at: np.ndarray, coder: Coder) -> np.ndarray:
         """Hash of the bytes since the last space or end."""
         cut = (data == 32) | (data == END)
         values = mix64(np.arange(1, 257, dtype=np.uint64))[data]
-        powers, inverse = _powers(1 << len(data).bit_length())
+        powers, inverse = coder.powers(len(data) + 1)
         values *= powers[: len(data)]
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values, out=sums[1:])
@@ -153,7 +196,11 @@ class Steps:
 
 
 def in_training(doc_id: int, folds: int) -> bool:
-    return doc_id != NULL_ID and zlib.crc32(str(doc_id).encode()) % folds != 0
+    return doc_id >= NULL_ID + NULL_SPREAD and zlib.crc32(str(doc_id).encode()) % folds != 0
+
+
+def _learnt(folds: int) -> Column:
+    return (F.col("doc_id") >= NULL_ID + NULL_SPREAD) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
 
 
 def _words_of(hasher: WordHashes, texts: list[bytes]) -> list[np.ndarray]:
@@ -171,11 +218,32 @@ def _words_by_text(hasher: WordHashes, texts: list[bytes]) -> list[np.ndarray]:
 END_MARK = b"\nEND\n"
 
 
-def _counter(folds: int, buckets: int):
+def _pair_counter(folds: int):
+    """pair, n: how often a byte follows another in the training documents of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(1 << 16, np.int64)
+        for batch in utf8_slices(batches):
+            learnt = [in_training(i, folds) for i in batch.column("doc_id").to_pylist()]
+            texts = [bytes([END]) + coded_text(t.as_py().encode()) for t, use in zip(batch.column("text"), learnt) if use]
+            if not texts:
+                continue
+            data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16)
+            both = data[:-1] << np.uint16(8) | data[1:]
+            # The end of a text and what stands before the next are no pair.
+            both = np.delete(both, np.cumsum([len(t) for t in texts[:-1]], dtype=np.int64) - 1)
+            pairs += np.bincount(both, minlength=1 << 16)
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(pairs[some])], ["pair", "n"])
+
+    return run
+
+
+def _counter(folds: int, buckets: int, trees):
     """Counts of word hashes and of table slots over the training documents of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = code_tree()
+        coder = Coder(trees.value)
         hasher = WordHashes()
         tables = [np.zeros(2 << width, np.uint32) for width in TABLE_BITS]
         names = ["key", "kind", "first", "second"]
@@ -190,7 +258,7 @@ def _counter(folds: int, buckets: int):
             if not texts:
                 continue
             for group in grouped(texts, 1 << 16):
-                steps = Steps(group, tree)
+                steps = Steps(group, coder, scored=False)
                 for slot, table in zip(steps.slots, tables):
                     np.add.at(table, (slot << np.uint32(1)) | steps.bit, np.uint32(1))
             words, counts = np.unique(np.concatenate(_words_of(hasher, texts)), return_counts=True)
@@ -293,14 +361,14 @@ def start_weights() -> np.ndarray:
     return weights
 
 
-def bits_of(texts: list[bytes], tables: list[np.ndarray], tree) -> np.ndarray:
-    """Bits that the model takes for each text."""
-    steps = Steps(texts, tree)
+def bits_of(texts: list[bytes], tables: list[np.ndarray], coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that the model takes for each word, with the space or end behind it, and the text each is of."""
+    steps = Steps(texts, coder)
     n = len(texts)
     start = start_weights()
     weights = [np.tile(start[:, k], n) for k in range(len(TABLE_BITS))]
     last = np.zeros(n * 16, np.float32)
-    out = np.zeros(n)
+    out = np.zeros(steps.words)
     for a, end, b in zip(steps.edges[::2], steps.edges[1::2], steps.edges[2::2]):
         doc = steps.doc[a:b]
         packed = [table[slots[a:b]] for table, slots in zip(tables, steps.slots)]
@@ -315,14 +383,21 @@ def bits_of(texts: list[bytes], tables: list[np.ndarray], tree) -> np.ndarray:
             mixed += w[row] * x
         mixed *= np.float32(1 / 4)
         own = doc * np.intp(16)
-        own += np.clip(mixed + 8.5, 0, 15).astype(np.int32)
+        place = mixed + np.float32(8.5)
+        np.maximum(place, 0, out=place)
+        np.minimum(place, 15, out=place)
+        own += place.astype(np.int32)
         mixed += last[own]
         sign = steps.bit[a:b].astype(np.float32)
         sign *= 2
         sign -= 1
-        odds = np.exp(-np.clip(mixed, -11, 11) * sign)
-        runs = run_starts(doc)
-        np.add.at(out, doc[runs], np.add.reduceat(np.log(1 + odds), runs, dtype=np.float64))
+        np.maximum(mixed, -11, out=mixed)
+        np.minimum(mixed, 11, out=mixed)
+        mixed *= sign
+        odds = np.exp(np.negative(mixed, out=mixed))
+        word = steps.word[a:b]
+        runs = run_starts(word)
+        np.add.at(out, word[runs], np.add.reduceat(np.log(1 + odds), runs, dtype=np.float64))
         learn = end - a
         if not learn:
             continue
@@ -334,7 +409,42 @@ def bits_of(texts: list[bytes], tables: list[np.ndarray], tree) -> np.ndarray:
         for w, x in zip(weights, inputs):
             w += (RATE * np.bincount(row, error * x[:learn], n * GATES) / seen).astype(np.float32)
         last += (RATE_LAST * np.bincount(own, error, n * 16) / change).astype(np.float32)
-    return out / np.log(2)
+    return out / np.log(2), steps.word_doc
+
+
+#: Where the weight of a word's count starts, by the count: 0, 1, 2 to 3, 4 to 7, 8 to 15, 16 to 63, more.
+WORD_STEPS = np.array([0.5, 1.5, 3.5, 7.5, 15.5, 63.5])
+WORD_START = np.array([0.0, 0.8, 0.7, 0.35, 0.18, 0.08, 0.05])
+#: How fast the weight shifts within a document, in logits per nat, and how far.
+WORD_RATE = 0.01
+WORD_SHIFT = 4.0
+
+
+def mixed_words(bits: np.ndarray, doc: np.ndarray, counts: np.ndarray, last: np.ndarray, total: int, ends: int) -> np.ndarray:
+    """log10 of the probability of each word, from its bits and its count.
+
+    A word stands for itself and whether the text ends behind it; a count of -1
+    is the end of an empty text.
+    """
+    spelt = 2.0**-bits
+    if not total:
+        return np.log10(spelt)
+    end = ends / total
+    counted = np.where(counts > 0, counts / max(1, total - ends), 0.0) * np.where(last, end, 1 - end)
+    counted[counts < 0] = end
+    start = WORD_START[np.searchsorted(WORD_STEPS, counts)]
+    start[counts < 0] = 0.5
+    usable = (counted > 0) & (start > 0)
+    gain = np.zeros(len(bits))
+    gain[usable] = np.log(counted[usable]) + bits[usable] * np.log(2)
+    before = np.r_[0.0, np.cumsum(gain)]
+    before = before[:-1] - before[np.searchsorted(doc, doc)]
+    weight = np.zeros(len(bits))
+    shift = np.clip(WORD_RATE * before[usable], -WORD_SHIFT, WORD_SHIFT)
+    weight[usable] = 1 / (1 + (1 / start[usable] - 1) * np.exp(-shift))
+    # Very long words have no probability that a double could hold.
+    mixed = (1 - weight) * spelt + weight * counted
+    return np.where(mixed > 0, np.log10(np.where(mixed > 0, mixed, 1.0)), -bits * np.log10(2))
 
 
 def _distinct_words(docs: pa.Table, buckets: int):
@@ -382,7 +492,7 @@ def _answerer(asked: pa.Table, known: pa.Table) -> pa.Table:
     )
 
 
-def _scorer(buckets: int, folds: int, total: int, distinct: int, tables):
+def _scorer(buckets: int, folds: int, total: int, distinct: int, ends: int, trees, tables):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         words, asked = _distinct_words(docs, buckets)
         given = dict(zip(replies.column("key").to_pylist(), replies.column("counts").to_pylist()))
@@ -398,9 +508,15 @@ def _scorer(buckets: int, folds: int, total: int, distinct: int, tables):
         logs = np.log10((counts + SMOOTH) / (total + SMOOTH * (distinct + 1)))
         places = [np.searchsorted(names, w) for w in words]
         texts = [t.as_py().encode() for t in docs.column("text")]
-        tree, learnt = code_tree(), tables.value
-        bits = [bits_of(group, learnt, tree) for group in grouped(texts, 1 << 17)]
-        bits = np.concatenate(bits) if bits else np.zeros(0)
+        coder, scores, done = Coder(trees.value), [], 0
+        for group in grouped(texts, 1 << 17):
+            bits, doc = bits_of(group, tables.value, coder)
+            own = places[done : done + len(group)]
+            done += len(group)
+            known = np.concatenate([counts[p[:-1]] if len(p) > 1 else np.full(1, -1) for p in own])
+            last = np.r_[doc[1:] != doc[:-1], True]
+            scores.append(np.bincount(doc, mixed_words(bits, doc, known, last, total, ends)))
+        scores = np.concatenate(scores) if scores else np.zeros(0)
         ids = docs.column("doc_id").to_pylist()
         return pa.table(
             {
@@ -410,8 +526,8 @@ def _scorer(buckets: int, folds: int, total: int, distinct: int, tables):
                 "n_known": pa.array([int((counts[p] > 0).sum()) for p in places], pa.int64()),
                 "train_tokens": pa.array([total] * len(ids), pa.int64()),
                 "base_score": pa.array([float(logs[p].sum()) for p in places], pa.float64()),
-                "score": pa.array(-bits * np.log10(2), pa.float64()),
-                "bits_per_byte": pa.array([float(b / (len(t) + 1)) for b, t in zip(bits, texts)], pa.float64()),
+                "score": pa.array(scores, pa.float64()),
+                "bits_per_byte": pa.array([float(-s / np.log10(2) / (len(t) + 1)) for s, t in zip(scores, texts)], pa.float64()),
             }
         )
 
@@ -429,15 +545,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
-    rows = keyed(docs, id_col, text_col).select("doc_id", "text")
+    rows = spread_nulls(keyed(docs, id_col, text_col)).select("doc_id", "text")
+    # One number per pair of bytes.
+    pairs = np.zeros((256, 256), np.int64)
+    followed = rows.mapInArrow(_pair_counter(folds), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    for pair, n in followed.collect():
+        pairs[pair >> 8, pair & 255] = n
+    trees = spark.sparkContext.broadcast(code_trees(pairs))
     schema = "key long, kind long, first binary, second binary"
     learnt = materialise(
-        rows.mapInArrow(_counter(folds, buckets), schema)
+        rows.mapInArrow(_counter(folds, buckets, trees), schema)
         .repartition(shuffle_width(spark), "kind", "key")
         .mapInArrow(_summer, schema + ", total long, distinct long"),
         "lm-counts",
     )
     sums = learnt.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    # Every training text has one end.
+    ends = rows.select("doc_id").filter(_learnt(folds)).count()
     tables = [np.zeros(1 << width, np.uint8) for width in TABLE_BITS]
     # A fixed number of slices of fixed size.
     for row in learnt.filter(F.col("kind") == COUNTS).select("key", "first").collect():
@@ -457,9 +581,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         texts.groupBy("bucket")
         .cogroup(replies.groupBy("bucket"))
         .applyInArrow(
-            _scorer(buckets, folds, sums["total"] or 0, sums["distinct"] or 0, shared),
+            _scorer(buckets, folds, sums["total"] or 0, sums["distinct"] or 0, ends, trees, shared),
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
             "base_score double, score double, bits_per_byte double",
         )
     )
-    return done.withColumn("doc_id", public_id())
+    return done.withColumn("doc_id", public_spread_id())

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -118,25 +119,127 @@ def test_lm_base_and_score(spark):
     assert sum(r.score for r in held) > 1.6 * sum(r.base_score for r in held)
 
 
+def brute_bits(learnt, text, trees):
+    """Bits of each word of a text, step by step, with contexts as they are and none hashed."""
+    starts, lengths, nodes, bits = trees
+
+    def steps(text):
+        data = b"\n" * 5 + b" ".join(text.lower().split()) + b"\n"
+        for i in range(5, len(data)):
+            pair = data[i - 1] << 8 | data[i]
+            word = re.search(rb"[^ \n]*$", data[:i])[0]
+            for node, bit in zip(nodes[starts[pair] :][: lengths[pair]], bits[starts[pair] :]):
+                yield i - 5, [(data[i - 3 : i], node), (data[i - 5 : i], node), (word, node)], int(bit)
+
+    counts = [collections.defaultdict(lambda: [0, 0]) for _ in range(3)]
+    for other in learnt:
+        for _, contexts, bit in steps(other):
+            for table, context in zip(counts, contexts):
+                table[context][bit] += 1
+    weights = lm_scoring.start_weights().astype(float)
+    last = np.zeros(16)
+    stretches = collections.defaultdict(list)
+    for i, contexts, bit in steps(text):
+        stretches[int(math.log2((i >> 6) + 1))].append((i, contexts, bit))
+    out = collections.Counter()
+    coded = b" ".join(text.lower().split()) + b"\n"
+    for stretch in sorted(stretches):
+        step_w, change, step_l, seen = np.zeros((16, 3)), np.full(16, 4.0), np.zeros(16), np.full(16, 20.0)
+        for i, contexts, bit in stretches[stretch]:
+            pairs = [table[context] for table, context in zip(counts, contexts)]
+            x = np.array([np.clip(np.rint(4 * math.log((one + 0.4) / (zero + 0.4))), -32, 31) for zero, one in pairs])
+            sure = [sum(zero + one > limit for limit in (0.5, 3.5, 30.5)) for zero, one in pairs]
+            gate = 4 * sure[1] + sure[2]
+            mixed = (weights[gate] * x).sum() / 4
+            own = int(np.clip(mixed + 8.5, 0, 15))
+            sign = 2 * bit - 1
+            odds = math.exp(-np.clip(mixed + last[own], -11, 11) * sign)
+            out[sum(coded[:i].count(c) for c in b" \n")] += math.log2(1 + odds)
+            error = odds / (1 + odds)
+            step_w[gate] += error * sign * x
+            seen[gate] += 1
+            step_l[own] += error * sign
+            change[own] += error * (1 - error)
+        weights += lm_scoring.RATE * step_w / (4 * np.sqrt(seen))[:, None]
+        last += lm_scoring.RATE_LAST * step_l / change
+    return np.array([out[k] for k in sorted(out)])
+
+
+def brute_score(rows, text, trees):
+    """log10 probability of a text by the model that learns from `rows`."""
+    learnt = [(t or "").encode() for d, t, _ in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
+    count = collections.Counter(w for t in learnt for w in t.lower().split())
+    total = sum(count.values()) + len(learnt)
+    end = len(learnt) / total
+    words = text.encode().lower().split()
+    score = gain = 0.0
+    for k, bits in enumerate(brute_bits(learnt, text.encode(), trees)):
+        if words:
+            c = count[words[k]]
+            counted = c / (total - len(learnt)) * (end if k == len(words) - 1 else 1 - end)
+            start = lm_scoring.WORD_START[sum(c > limit for limit in lm_scoring.WORD_STEPS)]
+        else:
+            counted, start = end, 0.5
+        weight = 0.0
+        if counted and start:
+            weight = 1 / (1 + (1 / start - 1) * math.exp(-np.clip(lm_scoring.WORD_RATE * gain, -4, 4)))
+            gain += math.log(counted) + bits * math.log(2)
+        score += math.log10((1 - weight) * 2**-bits + weight * counted)
+    return score
+
+
+def test_lm_score_equals_brute_force(spark):
+    rows = [(i, t[:200], x) for i, t, x in lm_rows()[:12]] + [(30, None, 0.0), (33, "Thon  thon\nÉ", 0.0)]
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, x double")).collect()}
+    pairs = np.zeros((256, 256), np.int64)
+    for d, t, _ in rows:
+        if zlib.crc32(str(d).encode()) % 10:
+            data = b"\n" + b" ".join((t or "").encode().lower().split()) + b"\n"
+            for a, b in zip(data, data[1:]):
+                pairs[a, b] += 1
+    trees = lm_scoring.code_trees(pairs)
+    assert {r.held_out for r in got.values()} == {True, False}
+    for d, t, _ in rows:
+        assert abs(got[d].score - brute_score(rows, t or "", trees)) < 2e-3 * abs(got[d].score), d
+
+
 def test_lm_is_a_probability():
     # Over all continuations of one step the odds add up: every byte has a path and paths share no end.
-    starts, lengths, nodes, bits = lm_scoring.code_tree()
-    assert abs(sum(2.0 ** -int(n) for n in lengths) - 1) < 1e-12
-    paths = {tuple(zip(nodes[s : s + n].tolist(), bits[s : s + n].tolist())) for s, n in zip(starts, lengths)}
-    assert len(paths) == 256
+    pairs = np.random.default_rng(0).integers(0, 3, (256, 256)) ** 5
+    starts, lengths, nodes, bits = trees = lm_scoring.code_trees(pairs)
+    for before in (0, 10, 101, 255):
+        own = [(s, n) for s, n in zip(starts[before << 8 :][:256].tolist(), lengths[before << 8 :][:256].tolist())]
+        assert abs(sum(2.0**-n for _, n in own) - 1) < 1e-12
+        assert len({tuple(zip(nodes[s : s + n].tolist(), bits[s : s + n].tolist())) for s, n in own}) == 256
     tables = [np.zeros(1 << w, np.uint8) for w in lm_scoring.TABLE_BITS]
-    tree = lm_scoring.code_tree()
     # With nothing learnt a text of one byte and the end costs its code's length.
-    cost = lm_scoring.bits_of([b"e", b""], tables, tree)
-    assert np.allclose(cost, [lengths[ord("e")] + lengths[10], lengths[10]])
+    cost, doc = lm_scoring.bits_of([b"e", b"", b"e e"], tables, lm_scoring.Coder(trees))
+    step = lambda a, b: lengths[ord(a) << 8 | ord(b)]
+    assert np.allclose(cost, [
+        step("\n", "e") + step("e", "\n"), step("\n", "\n"), step("\n", "e") + step("e", " "), step(" ", "e") + step("e", "\n"),
+    ])
+    assert doc.tolist() == [0, 1, 2, 2]
+
+
+def test_lm_word_mix_is_a_probability():
+    # Two words seen 6 and 2 times, 4 ends: word and end of text, or word and more, add up to what the bits leave.
+    counts = np.array([6, 2, 6, 2])
+    last = np.array([True, True, False, False])
+    bits = np.full(4, 3.0)
+    parts = 10 ** lm_scoring.mixed_words(bits, np.arange(4), counts, last, 12, 4)
+    weight = lm_scoring.WORD_START[[3, 2, 3, 2]]
+    assert np.allclose(parts, (1 - weight) / 8 + weight * [0.75 / 3, 0.25 / 3, 0.75 * 2 / 3, 0.25 * 2 / 3])
+    # A word of any length has a finite score.
+    assert np.isfinite(lm_scoring.mixed_words(np.array([1e6]), np.zeros(1, int), np.zeros(1, int), np.array([True]), 12, 4)).all()
 
 
 def test_lm_scores_do_not_depend_on_neighbours():
     tables = [lm_scoring.quantise(np.random.default_rng(k).integers(0, 9, 2 << w)) for k, w in enumerate(lm_scoring.TABLE_BITS)]
     texts = [b"The first text of them", b"", b"another " * 400, b"q"]
-    tree = lm_scoring.code_tree()
-    alone = [lm_scoring.bits_of([t], tables, tree)[0] for t in texts]
-    assert np.allclose(lm_scoring.bits_of(texts, tables, tree), alone, rtol=1e-4)
+    coder = lm_scoring.Coder(lm_scoring.code_trees(np.ones((256, 256), np.int64)))
+    alone = [lm_scoring.bits_of([t], tables, coder)[0].sum() for t in texts]
+    bits, doc = lm_scoring.bits_of(texts, tables, coder)
+    assert np.allclose(np.bincount(doc, bits), alone, rtol=1e-4)
 
 
 def test_lm_of_nothing(spark):
