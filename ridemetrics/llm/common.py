@@ -14,6 +14,10 @@ from ridemetrics.session import scratch_dir
 #: Stands for a NULL id inside an operator; sorts before every other id.
 NULL_ID = -(2**63)
 
+#: Where NULL ids are spread, for operators that send documents to tasks by id:
+#: so many numbers from NULL_ID on stand for it.
+NULL_SPREAD = 1 << 40
+
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 8 << 20
 
@@ -33,11 +37,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *othe
     )
 
 
+def spread_nulls(rows: DataFrame) -> DataFrame:
+    """Keyed rows whose NULL ids differ by their text, still below all other ids."""
+    own = F.lit(NULL_ID) + F.pmod("row_hash", F.lit(NULL_SPREAD))
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") == NULL_ID, own).otherwise(F.col("doc_id")))
+
+
 def public_id(column: str = "doc_id") -> Column:
     """The id as callers know it: NULL again where it was."""
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
+def public_spread_id(column: str = "doc_id") -> Column:
+    """The same after `spread_nulls`."""
+    return F.when(F.col(column) >= NULL_ID + NULL_SPREAD, F.col(column)).alias(column)
+
+
 def spare_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that `df` does not use."""
     taken = {c.lower() for c in df.columns}

@@ -3,10 +3,11 @@
 Seeds are winnowed hashes of `seed_words` words. Documents meet on seeds that
 occur more than once. At each, the match is extended both ways: to the left by
 every number of words up to the window's length less the seed's, to the right by
-the rest. The hashes of the two extensions name the window, and occurrences with
-the same name match there; so a seed in many documents is compared by name and
-not in pairs. Windows that match run together into maximal repeats, and words
-under them go, in every document that has them.
+the rest. Two pairs of hashes of the extensions, 128 bits, name the window, and
+occurrences with the same name match. Windows meet by name, so a seed in many
+documents is spread over as many tasks as it has surroundings, and equal windows
+of a task are one entry. Windows that match run together into maximal repeats,
+and words under them go, in every document that has them.
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ from ridemetrics.llm.anchors import (
     wanted_places,
     winnow,
 )
-from ridemetrics.llm.common import joined_utf8, keyed, mix64, public_id, run_starts, unpack
+from ridemetrics.llm.common import joined_utf8, keyed, mix64, public_spread_id, spread_nulls, unpack
 from ridemetrics.llm.suffix_dedup import REPEAT_SCHEMA, _columns, _repeat_rows, cover, repeats_by_row
 
 WINDOW_WORDS = 35
 SEED_WORDS = 8
 
-MATCH_SCHEMA = "bucket long, kind long, names binary, ids binary, rows binary, starts binary"
+MATCH_SCHEMA = "bucket long, kind long, names binary, checks binary, ids binary, rows binary, starts binary"
 
 _BASE = 0x9E3779B97F4A7C15
+#: Turns a word's hash into another one, for the second half of names.
+_OTHER = 0xC2B2AE3D27D4EB4F
 
 
 def _is_space() -> np.ndarray:
@@ -94,19 +97,39 @@ def _find_seeds(window: int, seed: int):
     return find
 
 
-def extensions(hasher: WordHashes, words: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, window: int, seed: int):
-    """Start and name of every window of each seed occurrence.
+def extensions(hasher: WordHashes, words: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, window: int):
+    """Start and both halves of the name of every window of each seed occurrence.
 
     The seed at `at` is extended by at - start words to the left and by the rest of
     the window to the right; the name holds both extensions and where they meet.
     """
     starts = np.repeat(first, count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
     seeds = np.repeat(at, count)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * hasher.up[: len(words)], out=sums[1:])
-    left = mix64((sums[seeds] - sums[starts]) * hasher.down[starts])
-    right = mix64((sums[starts + window] - sums[seeds]) * hasher.down[seeds])
-    return starts, mix64(left + mix64(right + (seeds - starts).astype(np.uint64)))
+
+    def names(words: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * hasher.up[: len(words)], out=sums[1:])
+        left = mix64((sums[seeds] - sums[starts]) * hasher.down[starts])
+        right = mix64((sums[starts + window] - sums[seeds]) * hasher.down[seeds])
+        return mix64(left + mix64(right + (seeds - starts).astype(np.uint64)))
+
+    return starts, names(words), names(mix64(words ^ np.uint64(_OTHER)))
+
+
+def by_name(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal names together, and where each begins in it."""
+    order = np.argsort(names, kind="stable")
+
+    def begins() -> np.ndarray:
+        a, b = names[order], checks[order]
+        return np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(order) else np.zeros(0, bool)
+
+    new = begins()
+    if new.sum() != len(np.unique(names)):
+        # Halves alike and wholes not: a matter of one in 2**64.
+        order = np.lexsort((checks, names))
+        new = begins()
+    return order, np.flatnonzero(new)
 
 
 def _extender(window: int, seed: int, buckets: int):
@@ -128,42 +151,41 @@ def _extender(window: int, seed: int, buckets: int):
             own = hasher.runs(words, seed)
             at, first, count = winnow(own, window - seed + 1)
             use = np.isin(at, wanted[key[0]])
-            starts, names = extensions(hasher, words, at[use], first[use], count[use], window, seed)
-            parts.append((names, np.repeat(own[at[use]], count[use]), np.full(len(names), key[0]), np.full(len(names), key[1]), starts))
+            starts, names, checks = extensions(hasher, words, at[use], first[use], count[use], window)
+            parts.append((names, checks, np.full(len(names), key[0]), np.full(len(names), key[1]), starts))
         if not parts:
             return _columns([], MATCH_SCHEMA)
-        names, anchors, ids, rows, starts = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(names, kind="stable")
-        names, anchors, ids, rows, starts = (x[order] for x in (names, anchors, ids, rows, starts))
-        begin = run_starts(names)
+        names, checks, ids, rows, starts = (np.concatenate(x) for x in zip(*parts))
+        order, begin = by_name(names, checks)
+        names, checks, ids, rows, starts = (x[order] for x in (names, checks, ids, rows, starts))
         count = np.diff(np.r_[begin, len(names)])
         several = np.repeat(count > 1, count)
         # One entry per name; without a place where this bucket already has the match.
         entry_start = np.where(count > 1, -1, starts[begin])
-        goes = (anchors[begin] % np.uint64(buckets)).astype(np.int64)
+        goes = (names[begin] % np.uint64(buckets)).astype(np.int64)
         out = [
-            (b, OPEN, n.tobytes(), i.tobytes(), r.tobytes(), s.tobytes())
-            for b, (n, i, r, s) in split_rows(goes, names[begin], ids[begin], rows[begin], entry_start)
+            (b, OPEN, n.tobytes(), c.tobytes(), i.tobytes(), r.tobytes(), s.tobytes())
+            for b, (n, c, i, r, s) in split_rows(goes, names[begin], checks[begin], ids[begin], rows[begin], entry_start)
         ]
         known = (ids[several], rows[several], starts[several])
         for b, (i, r, s) in split_rows(bucket_of(known[0], buckets), *known):
-            out.append((b, KNOWN, b"", i.tobytes(), r.tobytes(), s.tobytes()))
+            out.append((b, KNOWN, b"", b"", i.tobytes(), r.tobytes(), s.tobytes()))
         return _columns(out, MATCH_SCHEMA)
 
     return run
 
 
 def _matcher(buckets: int):
-    """applyInArrow over the seeds of one bucket: maximal runs of matching windows."""
+    """applyInArrow over the windows of one bucket: maximal runs of matching ones."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        blobs = {c: table.column(c).to_pylist() for c in ("names", "ids", "rows", "starts")}
+        blobs = {c: table.column(c).to_pylist() for c in ("names", "checks", "ids", "rows", "starts")}
         of = lambda what, c, dtype: unpack([blobs[c][i] for i in np.flatnonzero(kind == what)], dtype)
-        names = of(OPEN, "names", np.uint64)
+        names, checks = (of(OPEN, c, np.uint64) for c in ("names", "checks"))
         ids, rows, starts = (of(OPEN, c, np.int64) for c in ("ids", "rows", "starts"))
-        order = np.argsort(names, kind="stable")
-        count = np.diff(np.r_[run_starts(names[order]), len(names)])
+        order, begin = by_name(names, checks)
+        count = np.diff(np.r_[begin, len(names)])
         match = np.zeros(len(names), bool)
         match[order] = np.repeat(count > 1, count)
         match &= starts >= 0
@@ -227,7 +249,7 @@ def substring_dedup(
     text are two documents. A NULL id is an id like another.
     """
     buckets = bucket_count(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
+    rows = spread_nulls(keyed(docs, id_col, text_col))
     texts = by_bucket(rows, buckets)
     requests = repeated_places(rows, _find_seeds(window, seed), buckets)
     windows = (
@@ -245,4 +267,4 @@ def substring_dedup(
             "spans array<struct<start: long, stop: long>>",
         )
     )
-    return done.withColumn("doc_id", public_id())
+    return done.withColumn("doc_id", public_spread_id())

@@ -32,7 +32,7 @@ from ridemetrics.llm.anchors import (
     wanted_places,
     winnow,
 )
-from ridemetrics.llm.common import joined_utf8, keyed, mix64, public_id, run_starts, unpack
+from ridemetrics.llm.common import joined_utf8, keyed, mix64, public_spread_id, run_starts, spread_nulls, unpack
 from ridemetrics.llm.suffix_array import QUEUE_MEMORY, sorted_suffixes
 
 LENGTH = 100
@@ -292,7 +292,7 @@ def suffix_dedup(
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
-    rows = keyed(docs, id_col, text_col)
+    rows = spread_nulls(keyed(docs, id_col, text_col))
     texts = by_bucket(rows, buckets)
     requests = repeated_places(rows, _find_anchors(length, gram), buckets)
     stretches = (
@@ -310,4 +310,4 @@ def suffix_dedup(
             "spans array<struct<start: long, stop: long>>",
         )
     )
-    return done.withColumn("doc_id", public_id())
+    return done.withColumn("doc_id", public_spread_id())

@@ -5,12 +5,15 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ridemetrics.llm.common import joined_utf8, utf8_slices
+from ridemetrics.llm.anchors import by_bucket, repeated_places
+from ridemetrics.llm.common import joined_utf8, keyed, spread_nulls, utf8_slices
 from ridemetrics.llm.line_dedup import CHUNKINGS, UNION_EVERY, cover, deduped_documents, line_chunks, line_dedup
-from ridemetrics.llm.substring_dedup import substring_dedup
+from ridemetrics.llm.substring_dedup import MATCH_SCHEMA, _extender, _find_seeds, by_name, substring_dedup
 from ridemetrics.llm.suffix_array import sorted_suffixes
 from ridemetrics.llm.suffix_dedup import suffix_dedup
 
@@ -209,3 +212,46 @@ def test_slices_hold_all_rows_and_their_bytes(kind):
             assert sum(len(t.encode()) for t in cut) <= limit or len(cut) == 1
             seen += cut
         assert seen == texts
+
+
+def test_a_hot_phrase_is_spread_over_buckets(spark):
+    """A phrase in every document, longer than a seed and shorter than a window, with other words around it each time."""
+    r = random.Random(7)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    rows = []
+    for i in range(300):
+        around = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(2)]
+        rows.append((i, f"{around[0]} {phrase} {around[1]}", "x"))
+    rows += [(1000, rows[3][1] + " more", "x"), (1001, "before " + rows[3][1], "x")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame).collect()}
+    assert got == substring_brute(rows)
+    # What meets in one bucket is a share of the windows at the phrase's seeds.
+    keyed_rows = spread_nulls(keyed(frame, "doc_id", "text"))
+    texts = by_bucket(keyed_rows, 17)
+    asked = repeated_places(keyed_rows, _find_seeds(35, 8), 17)
+    windows = texts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_extender(35, 8, 17), MATCH_SCHEMA)
+    sizes = [n // 8 for _, n in windows.groupBy("bucket").agg(F.sum(F.octet_length("names"))).collect()]
+    assert sum(sizes) > 2000 and max(sizes) < 2 * sum(sizes) / 17
+
+
+def test_names_are_told_apart_by_both_halves():
+    names = np.array([5, 7, 5, 5, 7], np.uint64)
+    checks = np.array([1, 2, 3, 1, 2], np.uint64)
+    order, begin = by_name(names, checks)
+    groups = [sorted(g.tolist()) for g in np.split(order, begin[1:])]
+    assert sorted(groups) == [[0, 3], [1, 4], [2]]
+    assert [len(x) for x in by_name(names[:0], checks[:0])] == [0, 0]
+
+
+def test_documents_without_ids_are_spread(spark):
+    rows = [(None, f"text {i} " + "same words again and again " * 10, "x") for i in range(60)] + [(-5, "same words again and again " * 10, "x")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    buckets = by_bucket(spread_nulls(keyed(frame, "doc_id", "text")), 17)
+    assert buckets.select("bucket").distinct().count() > 10
+    got = suffix_dedup(frame).collect()
+    assert sorted(r.doc_id is None for r in got) == [False] + [True] * 60
+    # All but one have their repeated part cut; the row with an id comes after those without.
+    assert sum(r.n_removed > 150 for r in got) == 61 and [r.n_removed for r in got if r.doc_id == -5] == [270]
+    words = substring_dedup(frame).collect()
+    assert sum(r.doc_id is None for r in words) == 60 and all(r.n_removed >= 48 for r in words)
