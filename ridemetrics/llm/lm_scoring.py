@@ -54,15 +54,18 @@ TABLE_SLICE = 1 << 18
 COUNTS, WORDS = 0, 1
 SMOOTH = 0.1
 
+#: Slots that the steps under one context share: a line of memory, so a byte's steps are near each other.
+BLOCK = 64
 #: Weight of a byte that training never showed after another.
 UNSEEN = 0.02
 
 
 def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman tree over bytes for each byte before: start and length of each pair's path, node hashes and bits of all paths.
+    """A Huffman tree over bytes for each byte before: start and length of each pair's path, nodes and bits of all paths.
 
     `pairs` counts (byte before, byte). Frequent pairs take few steps, and every
-    byte can be told after every other.
+    byte can be told after every other. Nodes are numbered modulo BLOCK: the BLOCK
+    nodes next to a root, where nearly all steps are, have numbers of their own.
     """
     starts, lengths, nodes, bits = [], [], [], []
     for before, weight in enumerate(pairs.astype(np.float64) + UNSEEN):
@@ -82,10 +85,10 @@ def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             starts.append(len(nodes))
             lengths.append(len(path))
             for node, bit in reversed(path):
-                nodes.append(before << 8 | node - 255)
+                nodes.append(node % BLOCK)
                 bits.append(bit)
-    spread = (mix64(np.array(nodes, np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    return np.array(starts, np.int32), np.array(lengths, np.int32), spread, np.array(bits, np.uint8)
+    kinds = (np.int32, np.int32, np.uint32, np.uint8)
+    return tuple(np.array(column, kind) for column, kind in zip((starts, lengths, nodes, bits), kinds))
 
 
 def coded_text(text: bytes) -> bytes:
@@ -137,11 +140,12 @@ class Steps:
         ends = np.cumsum(n)
         # Taking by place is several times faster than repeating each array.
         of_byte = np.repeat(np.arange(len(n)), n)
-        path = np.arange(int(ends[-1])) + (coder.starts[pair] - ends + n)[of_byte]
+        path = (coder.starts[pair] - ends + n)[of_byte]
+        path += np.arange(len(path))
         step = coder.nodes[path]
         self.bit = coder.bits[path]
         if scored:
-            self._tell(data, coded, at, begin, sizes, of_byte, ends)
+            self._tell(data, coded, at, begin, sizes, of_byte, ends - n)
         self.slots = []
         for k, (context, width) in enumerate(zip(contexts, TABLE_BITS)):
             mixed = (context + np.uint32(k + 1)) * np.uint32(0x85EBCA6B)
@@ -149,10 +153,10 @@ class Steps:
             mixed *= np.uint32(0x9E3779B1)
             mixed ^= mixed >> np.uint32(13)
             mixed *= np.uint32(0xC2B2AE35)
-            # Both terms are hashes, so their sum is one as well.
+            mixed >>= np.uint32(32 - width)
+            # The upper bits choose a block, the lower ones where its nodes begin.
             slot = mixed[of_byte]
-            slot += step
-            slot >>= np.uint32(32 - width)
+            slot ^= step
             self.slots.append(slot)
 
     def _by_stretch(self, at: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -168,18 +172,20 @@ class Steps:
         self.of_doc, self.turn = doc[order], turn[order]
         return at[order]
 
-    def _tell(self, data, coded, at, begin, sizes, of_byte, ends) -> None:
-        """Document and word of each step, and where stretches are."""
+    def _tell(self, data, coded, at, begin, sizes, of_byte, first) -> None:
+        """Document of each step, word and first step of each byte, and where stretches are."""
         self.doc = self.of_doc[of_byte]
         # Words with the space or end behind them, numbered over all texts.
         cut = coded & ((data == 32) | (data == END))
         words = np.cumsum(cut, dtype=np.int32)
         self.words = int(words[-1])
-        self.word = (words - cut)[at][of_byte]
+        self.word = (words - cut)[at]
         self.word_doc = np.repeat(np.arange(len(sizes)), np.diff(np.r_[0, words[begin + sizes - 1]]))
-        # Of each stretch: begin, begin of what is last, end.
+        self.first = first
+        # Of each stretch: begin, begin of what is last, end; in bytes and in steps.
         bounds = np.searchsorted(self.turn, np.arange(int(self.turn[-1]) // 2 * 2 + 3))
-        self.edges = np.r_[0, ends][bounds].tolist()
+        self.bytes = bounds.tolist()
+        self.edges = np.r_[first, len(of_byte)][bounds].tolist()
 
     @staticmethod
     def _word_so_far(data: np.ndarray, at: np.ndarray, coder: Coder) -> np.ndarray:
@@ -369,7 +375,8 @@ def bits_of(texts: list[bytes], tables: list[np.ndarray], coder: Coder) -> tuple
     weights = [np.tile(start[:, k], n) for k in range(len(TABLE_BITS))]
     last = np.zeros(n * 16, np.float32)
     out = np.zeros(steps.words)
-    for a, end, b in zip(steps.edges[::2], steps.edges[1::2], steps.edges[2::2]):
+    stretches = zip(steps.edges[::2], steps.edges[1::2], steps.edges[2::2], steps.bytes[::2], steps.bytes[2::2])
+    for a, end, b, first_byte, last_byte in stretches:
         doc = steps.doc[a:b]
         packed = [table[slots[a:b]] for table, slots in zip(tables, steps.slots)]
         gate = (packed[1] & np.uint8(3)) << np.uint8(2) | (packed[2] & np.uint8(3))
@@ -395,9 +402,9 @@ def bits_of(texts: list[bytes], tables: list[np.ndarray], coder: Coder) -> tuple
         np.minimum(mixed, 11, out=mixed)
         mixed *= sign
         odds = np.exp(np.negative(mixed, out=mixed))
-        word = steps.word[a:b]
-        runs = run_starts(word)
-        np.add.at(out, word[runs], np.add.reduceat(np.log(1 + odds), runs, dtype=np.float64))
+        if a < b:
+            cost = np.add.reduceat(np.log(1 + odds), steps.first[first_byte:last_byte] - a, dtype=np.float64)
+            out += np.bincount(steps.word[first_byte:last_byte], cost, steps.words)
         learn = end - a
         if not learn:
             continue
