@@ -1,16 +1,20 @@
 """The empty-station alert: changes over history and from a stream."""
 
+import os
 import random
+import subprocess
+import sys
 from decimal import Decimal
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ridemetrics.operators.alerts import alert_edges
 from ridemetrics.sinks.tables import store_status
 from ridemetrics.sources.tables import follow_status
 from ridemetrics.schema import STATUS
-from ridemetrics.streaming.alerts import alert_changes
+from ridemetrics.streaming.alerts import _machine, alert_changes
 from ridemetrics.streaming.follow import deliver
 
 SHORT = "id decimal(38,0), station_id string, grab_time long, num_bikes_available int"
@@ -108,3 +112,22 @@ def test_late_and_repeated_rows_tell_nothing_new(spark, tmp_path):
     store_status(full(spark, [(12, "a", 100, 1)]), f"{tmp_path}/status")
     run(spark, tmp_path)
     assert found(spark.read.parquet(f"{tmp_path}/alerts")) == [("a", 100, False), ("a", 100, True)]
+
+
+def test_the_state_machine_travels_to_workers_that_lack_the_package(tmp_path):
+    (tmp_path / "step").write_bytes(cloudpickle.dumps(_machine()))
+    script = """
+import importlib.util, pickle, pandas as pd
+assert importlib.util.find_spec("ridemetrics") is None
+step = pickle.load(open("step", "rb"))
+class State:
+    exists = False
+    def update(self, value): self.value = value
+state = State()
+batch = pd.DataFrame({"grab_time": [5, 4], "id_high": 0, "id_middle": 0, "id_low": [2, 1], "is_empty": [False, True]})
+(out,) = step(("a",), [batch], state)
+print(out.values.tolist(), state.value)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == "[['a', 4, True], ['a', 5, False]] (5, 0, 0, 2, False)", done.stderr
