@@ -26,8 +26,11 @@ from ridemetrics.streaming.follow import deliver, new_points
 from ridemetrics.streaming.ingest import append_status, ingest_status, landed_polls, load_writer
 from ridemetrics.streaming.live import keep_latest_state, read_latest_state
 
-# Documents a micro-batch takes where a query wants several of them.
+# Documents a micro-batch takes where a query wants several of them, and how many
+# micro-batches a landing folder makes at most: each has a cost of its own, however
+# little it reads, so where many documents have landed it takes more of them.
 FEW_FILES = 8
+MOST_BATCHES = 12
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +54,12 @@ def _stopped_after_write(status: DataFrame, path: str, checkpoint: str, batch: i
             raise
 
 
+def _few_files(spark: SparkSession, landing: str) -> int:
+    """Documents a micro-batch takes: few, or an equal share of all. The listing reads no content."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(landing)
+    return max(FEW_FILES, -(-listed.count() // MOST_BATCHES))
+
+
 def _halves(status: DataFrame) -> list[DataFrame]:
     """Rows before and after the middle of their time."""
     middle = status.agg(((F.min("grab_time") + F.max("grab_time")) / 2).cast("long")).scalar()
@@ -115,10 +124,11 @@ def ingest_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed documents ingested a few at a time, with a stop between write and commit."""
     landing = _landed_days(spark, sf_dir, "restarted-landing")
     run = scratch_dir(spark, "restarted")
-    polls = decode_status(landed_polls(spark, landing, max_files=FEW_FILES))
+    few = _few_files(spark, landing)
+    polls = decode_status(landed_polls(spark, landing, max_files=few))
     _stopped_after_write(polls, f"{run}/status", f"{run}/ck", batch=1)
     ingest_status(
-        spark, landing, f"{run}/status", f"{run}/ck", targets=None, interval=None, max_files=FEW_FILES
+        spark, landing, f"{run}/status", f"{run}/ck", targets=None, interval=None, max_files=few
     ).awaitTermination()
     return _as_bridge(read_status(spark, f"{run}/status")).drop("id", "grab_time", STATUS_PARTITION)
 

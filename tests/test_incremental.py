@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridemetrics.functions.expressions import utc_day
 from ridemetrics.operators.stations import latest_rows
+from ridemetrics.plans import streamed
 from ridemetrics.schema import STATUS_PARTITION
 from ridemetrics.sinks.latest import latest_so_far, refresh_latest
 from ridemetrics.sinks.tables import compact_status, store_status, write_load
@@ -85,6 +86,18 @@ def test_ingest_of_a_few_files_at_a_time_with_a_stop_equals_one_batch(spark, fol
     assert list_loads(spark, f["table"]).select("load").distinct().count() == 4
 
 
+def test_many_landed_documents_make_no_more_batches(spark, tmp_path, monkeypatch):
+    # Documents of one row each.
+    times = F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit("2024-01-02").cast("timestamp_ntz")).alias("ts")
+    ids = spark.range(110).select((F.col("id") * 2000).alias("event_id"), (F.col("id") % 9).alias("user_id"), times)
+    events = ids.withColumns({"event_type": F.lit("view"), "value": F.lit(1.0), "props": F.lit('{"k": 3}')})
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streamed, "scratch_dir", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    assert streamed.ingest_restarted(spark, str(tmp_path)).count() == 110
+    loads = list_loads(spark, f"{tmp_path}/restarted/status").select("load").distinct().count()
+    assert 2 < loads <= streamed.MOST_BATCHES
+
+
 def polls(first, count, day=0):
     return [(1000 * day + i, s, 86400 * day + 60 * i, (i * 7 + len(s)) % 5) for i in range(first, first + count) for s in ("a", "bb")]
 
