@@ -96,6 +96,11 @@ def coded_text(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + bytes([END])
 
 
+def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], for places known to be inside: not checking them is up to twice as fast."""
+    return values.take(at, mode="clip")
+
+
 class Coder:
     """Code trees, and the powers that word hashes need, for the texts of a task."""
 
@@ -138,12 +143,12 @@ class Steps:
         pair = (three & np.uint32(255)) << np.uint32(8) | wide[at]
         n = coder.lengths[pair]
         ends = np.cumsum(n)
-        # Taking by place is several times faster than repeating each array.
+        # Picking by place is several times faster than repeating each array.
         of_byte = np.repeat(np.arange(len(n)), n)
-        path = (coder.starts[pair] - ends + n)[of_byte]
+        path = picked(coder.starts[pair] - ends + n, of_byte)
         path += np.arange(len(path))
-        step = coder.nodes[path]
-        self.bit = coder.bits[path]
+        step = picked(coder.nodes, path)
+        self.bit = picked(coder.bits, path)
         if scored:
             self._tell(data, coded, at, begin, sizes, of_byte, ends - n)
         self.slots = []
@@ -155,7 +160,7 @@ class Steps:
             mixed *= np.uint32(0xC2B2AE35)
             mixed >>= np.uint32(32 - width)
             # The upper bits choose a block, the lower ones where its nodes begin.
-            slot = mixed[of_byte]
+            slot = picked(mixed, of_byte)
             slot ^= step
             self.slots.append(slot)
 
@@ -173,15 +178,15 @@ class Steps:
         return at[order]
 
     def _tell(self, data, coded, at, begin, sizes, of_byte, first) -> None:
-        """Document of each step, word and first step of each byte, and where stretches are."""
-        self.doc = self.of_doc[of_byte]
+        """Document and byte of each step, word of each byte, and where stretches are."""
+        self.of_byte = of_byte
+        self.doc = picked(self.of_doc, of_byte)
         # Words with the space or end behind them, numbered over all texts.
         cut = coded & ((data == 32) | (data == END))
         words = np.cumsum(cut, dtype=np.int32)
         self.words = int(words[-1])
         self.word = (words - cut)[at]
         self.word_doc = np.repeat(np.arange(len(sizes)), np.diff(np.r_[0, words[begin + sizes - 1]]))
-        self.first = first
         # Of each stretch: begin, begin of what is last, end; in bytes and in steps.
         bounds = np.searchsorted(self.turn, np.arange(int(self.turn[-1]) // 2 * 2 + 3))
         self.bytes = bounds.tolist()
@@ -378,23 +383,26 @@ def bits_of(texts: list[bytes], tables: list[np.ndarray], coder: Coder) -> tuple
     stretches = zip(steps.edges[::2], steps.edges[1::2], steps.edges[2::2], steps.bytes[::2], steps.bytes[2::2])
     for a, end, b, first_byte, last_byte in stretches:
         doc = steps.doc[a:b]
-        packed = [table[slots[a:b]] for table, slots in zip(tables, steps.slots)]
+        packed = [picked(table, slots[a:b]) for table, slots in zip(tables, steps.slots)]
         gate = (packed[1] & np.uint8(3)) << np.uint8(2) | (packed[2] & np.uint8(3))
         # Index arrays of the machine's own width are not copied at each use.
         row = doc * np.intp(GATES)
         row += gate
         # Logits times 4.
         inputs = [(p.view(np.int8) >> np.int8(2)).astype(np.float32) for p in packed]
-        mixed = weights[0][row] * inputs[0]
+        mixed = picked(weights[0], row)
+        mixed *= inputs[0]
         for w, x in zip(weights[1:], inputs[1:]):
-            mixed += w[row] * x
+            part = picked(w, row)
+            part *= x
+            mixed += part
         mixed *= np.float32(1 / 4)
         own = doc * np.intp(16)
         place = mixed + np.float32(8.5)
         np.maximum(place, 0, out=place)
         np.minimum(place, 15, out=place)
         own += place.astype(np.int32)
-        mixed += last[own]
+        mixed += picked(last, own)
         sign = steps.bit[a:b].astype(np.float32)
         sign *= 2
         sign -= 1
@@ -403,7 +411,7 @@ def bits_of(texts: list[bytes], tables: list[np.ndarray], coder: Coder) -> tuple
         mixed *= sign
         odds = np.exp(np.negative(mixed, out=mixed))
         if a < b:
-            cost = np.add.reduceat(np.log(1 + odds), steps.first[first_byte:last_byte] - a, dtype=np.float64)
+            cost = np.bincount(steps.of_byte[a:b] - first_byte, np.log(1 + odds), last_byte - first_byte)
             out += np.bincount(steps.word[first_byte:last_byte], cost, steps.words)
         learn = end - a
         if not learn:

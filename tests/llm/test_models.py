@@ -247,3 +247,13 @@ def test_lm_of_nothing(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lm_scoring.lm_scores(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
     assert {(r.train_tokens, r.n_known) for r in got} == {(0, 0)}
+
+
+def test_steps_tell_the_byte_they_are_of():
+    coder = lm_scoring.Coder(lm_scoring.code_trees(np.ones((256, 256), np.int64)))
+    steps = lm_scoring.Steps([b"ab", b"", b"c" * 200], coder)
+    # Bytes of the first stretches, each text's last one after the others.
+    n = np.bincount(steps.of_byte)
+    assert len(n) == 3 + 1 + 201 and n.min() > 0 and (np.diff(steps.of_byte) >= 0).all()
+    assert len(steps.of_byte) == len(steps.bit) == steps.edges[-1]
+    assert lm_scoring.picked(np.array([3, 5]), np.array([1, 0, 1])).tolist() == [5, 3, 5]
